@@ -1,0 +1,2 @@
+"""Nothing here on purpose: every check in the feature set is a batch question
+over a finished table, so there is no streaming operator to offer."""
