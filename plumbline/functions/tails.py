@@ -15,11 +15,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
 TINY = 1e-300
 
 
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
+
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
 def normal_cdf(z):
     return 0.5 * _erfc(-np.asarray(z, float) / math.sqrt(2))
 

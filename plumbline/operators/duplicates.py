@@ -143,4 +143,4 @@ def duplicate_sample(df: DataFrame, flags: DataFrame, row_id: str, limit: int =
     first = flags.where("is_duplicate").select(row_id).orderBy(row_id).limit(limit + 1)
     ranked = df.join(F.broadcast(first), row_id, "left_semi").orderBy(row_id)
     n_more = first.agg((F.count(F.lit(1)) > limit).alias("truncated"))
-    return ranked.limit(limit).crossJoin(F.broadcast(n_more))
+    return ranked.limit(limit).withColumn("truncated", n_more.scalar())
