@@ -41,15 +41,16 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
-                   schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
-    """Delimited text with a header row.
+                   schema: T.StructType | None = None, multi_line: bool = False,
+                   header: bool = True) -> DataFrame:
+    """Delimited text, by default with a header row in every file.
 
     Lines with too many fields are left out, lines with too few are filled with
     NULL. Give ``schema`` for big inputs; inferring it costs one more scan.
     """
     delimiter = delimiter or detect_delimiter(spark, path)
     encoding = encoding or detect_encoding(spark, path)
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option(
+    reader = spark.read.option("header", header).option("sep", delimiter).option("encoding", encoding).option(
         "multiLine", multi_line).option("enforceSchema", True)
     if schema is None:
         schema = reader.option("inferSchema", True).csv(path).schema
