@@ -30,10 +30,10 @@ x AS (SELECT * FROM g ANTI JOIN u USING (o_orderpriority, ts))"""
 # Daily mean per entity and the day grid between its first and last day.
 FILL = f"""{DISTINCT}, g AS (SELECT o_orderpriority, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts FROM e),
 m AS (SELECT o_orderpriority, o_orderdate AS ts, avg(o_totalprice) AS y FROM orders GROUP BY ALL),
-j AS (SELECT g.o_orderpriority, g.ts, m.y, CASE WHEN m.y IS NOT NULL THEN g.ts END AS at
+j AS (SELECT g.o_orderpriority, g.ts, m.y, CASE WHEN m.y IS NOT NULL THEN g.ts END AS seen
  FROM g LEFT JOIN m USING (o_orderpriority, ts)),
-k AS (SELECT *, max(at) OVER (PARTITION BY o_orderpriority ORDER BY ts) AS t0,
- min(at) OVER (PARTITION BY o_orderpriority ORDER BY ts DESC) AS t1 FROM j),
+k AS (SELECT *, max(seen) OVER (PARTITION BY o_orderpriority ORDER BY ts) AS t0,
+ min(seen) OVER (PARTITION BY o_orderpriority ORDER BY ts DESC) AS t1 FROM j),
 w AS (SELECT k.*, a.y AS y0, b.y AS y1 FROM k JOIN m a ON a.o_orderpriority = k.o_orderpriority AND a.ts = t0
  JOIN m b ON b.o_orderpriority = k.o_orderpriority AND b.ts = t1)"""
 

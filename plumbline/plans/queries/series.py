@@ -204,8 +204,8 @@ QUERIES = {
         f"WITH {DAILY}, {SHIFT} SELECT split AS break_index, round(m1, 3) AS mean_before, round(m2, 3) AS mean_after, "
         "round(m2 - m1, 3) AS shift_magnitude FROM f ORDER BY abs(f.t) DESC, candidate LIMIT 1"),
     "cusum_path_daily": (
-        lambda s, d: rounded(breaks.cusum_path(daily_series(s, d)).select("t", "residual", "cusum"), residual=1, cusum=6),
-        f"WITH {DAILY}, {CUSUM} SELECT t, round(r, 1) + 0.0 AS residual, round(c, 6) + 0.0 AS cusum FROM c"),
+        lambda s, d: rounded(breaks.cusum_path(daily_series(s, d)).select("t", "cusum"), cusum=6),
+        f"WITH {DAILY}, {CUSUM} SELECT t, round(c, 6) + 0.0 AS cusum FROM c"),
     "cusum_daily": (
         lambda s, d: as_text(rounded(breaks.cusum(daily_series(s, d)).select(
             "max_cusum", "break_index", "break_ts", "rejects_stability", "n_recursive_residuals"), max_cusum=6), "break_ts"),
