@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY = 1e-300
 
@@ -118,17 +119,17 @@ def t_two_sided(t, df):
     return beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(chi2_sf(x.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_tail(x: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(f_sf(x.to_numpy(float), df1.to_numpy(float), df2.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 

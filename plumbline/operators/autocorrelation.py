@@ -58,7 +58,7 @@ def acf(series: Series, nlags: int = 12) -> DataFrame:
     table = table.withColumn("error", F.coalesce(_few(), F.when(
         F.element_at(c, 1) <= 0, F.lit("Series is constant"))))
     fine = F.col("error").isNull()
-    adjusted = F.transform(c, lambda x, k: x / (n - k))
+    adjusted = F.transform(c, lambda x, k: F.try_divide(x, n - k))
     table = table.select(
         *series.keys, "n", "top", "error",
         F.when(fine, F.transform(c, lambda x: x / F.element_at(c, 1))).alias("a"),

@@ -47,9 +47,9 @@ def _before_sums(series: Series, least: int, count: int, terms: dict[str, Column
     keys = series.keys
     margin = _margin(F.col("n"), least)
     # A row belongs to the segment after the last candidate at or below t.
-    rows = series.rows.withColumn("_margin", margin)
+    rows = series.rows.where(F.col("n") >= MIN_ROWS).withColumn("_margin", margin)
     step = (F.col("n") - 2 * F.col("_margin")) / F.lit(float(count - 1))
-    guess = F.floor((F.col("t") - F.col("_margin")) / step)
+    guess = F.ceil((F.col("t") + 1 - F.col("_margin")) / step) - 1
     # Rounding may put the guess one off; the two neighbours decide.
     at = lambda i: _spaced(i, F.col("n"), F.col("_margin"), count)
     rows = rows.withColumn("_g", F.greatest(F.least(guess, F.lit(count - 1)), F.lit(-1)).cast("bigint"))
@@ -59,7 +59,7 @@ def _before_sums(series: Series, least: int, count: int, terms: dict[str, Column
     parts = rows.select(*keys, "n", (F.col("_g") + 1).alias("candidate"),
                         *[e.alias(k) for k, e in terms.items()])
     # One empty row per candidate keeps coinciding candidates in the result.
-    heads = series.rows.where("t = 0").select(
+    heads = series.rows.where((F.col("t") == 0) & (F.col("n") >= MIN_ROWS)).select(
         *keys, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count).cast("bigint"))).alias("candidate"),
         *[F.lit(0.0).alias(k) for k in terms])
     sums = parts.unionByName(heads).groupBy(*keys, "candidate").agg(
@@ -90,7 +90,8 @@ def _line_rss(n: Column, first: Column, s: str) -> Column:
     mid = first + (n - 1) / 2.0
     sxx = n * (n * n - 1) / 12.0
     sxy = F.col(f"rt_{s}") - mid * F.col(f"r_{s}")
-    return F.greatest(F.col(f"rr_{s}") - F.pow(F.col(f"r_{s}"), F.lit(2)) / n - sxy * sxy / sxx, F.lit(0.0))
+    return F.greatest(F.col(f"rr_{s}") - F.try_divide(F.pow(F.col(f"r_{s}"), F.lit(2)), n)
+                      - F.try_divide(sxy * sxy, sxx), F.lit(0.0))
 
 
 def chow_scan(series: Series, n_candidates: int = 20) -> DataFrame:
@@ -110,10 +111,10 @@ def chow_scan(series: Series, n_candidates: int = 20) -> DataFrame:
     full = F.col("rr_a") + F.col("rr_b")
     rss = _line_rss(split, -mid, "a") + _line_rss(n - split, split - mid, "b")
     dof = n - 4
-    f = ((full - F.col("rss")) / 2) / (F.col("rss") / dof)
+    f = F.try_divide((full - F.col("rss")) / 2 * dof, F.col("rss"))
     small = F.when(F.col("split") <= 2, F.lit("Sub-sample 1 too small for Chow test")).when(
         F.col("n") - F.col("split") <= 2, F.lit("Sub-sample 2 too small for Chow test"))
-    out = sums.withColumn("rss", rss).withColumn("error", F.coalesce(_enough(), small, F.when(
+    out = sums.withColumn("rss", rss).withColumn("error", F.coalesce(small, F.when(
         (F.col("rss") <= full * 1e-24) | (dof <= 0), F.lit("Degenerate regression"))))
     out = out.withColumn("f", F.when(F.col("error").isNull(), f))
     return out.withColumn("p_value", F.pow(1 + 2 * F.col("f") / dof, -dof / 2)).select(
@@ -137,13 +138,19 @@ def chow_at(series: Series, split: int) -> DataFrame:
         F.col("n") - split <= 2, F.lit("Sub-sample 2 too small for Chow test"))
     out = sums.withColumn("rss", _line_rss(at, -mid, "a") + _line_rss(n - at, at - mid, "b")).withColumn(
         "error", F.coalesce(small, F.when(F.col("rss") <= full * 1e-24, F.lit("Degenerate regression"))))
-    f = ((full - F.col("rss")) / 2) / (F.col("rss") / (n - 4))
+    f = F.try_divide((full - F.col("rss")) / 2 * (n - 4), F.col("rss"))
     return out.withColumn("f", F.when(F.col("error").isNull(), f)).withColumn(
-        "p_value", F.pow(1 + 2 * F.col("f") / (n - 4), -(n - 4) / 2)).select(
+        "p_value", F.pow(1 + 2 * F.try_divide(F.col("f"), n - 4), -(n - 4) / 2)).select(
         *keys, F.lit(split).cast("bigint").alias("break_index"), "f", "p_value",
         (F.col("p_value") < 0.05).alias("significant"), "n", "error")
 
 
+def _with_short(series: Series, found: DataFrame) -> DataFrame:
+    """Add a row with the reason for every series that is too short to be tested."""
+    short = series.one_row_each().where(F.col("n") < MIN_ROWS).withColumn("error", _enough())
+    return found.unionByName(short, allowMissingColumns=True)
+
+
 def _best(scan: DataFrame, keys: list[str], score: Column, cols: list[str]) -> DataFrame:
     """The row with the largest score per series, the first candidate on ties."""
     top = scan.groupBy(*keys).agg(
@@ -156,7 +163,7 @@ def _best(scan: DataFrame, keys: list[str], score: Column, cols: list[str]) -> D
 def chow(series: Series, n_candidates: int = 20, scan: DataFrame | None = None) -> DataFrame:
     """The split with the largest F statistic per series."""
     scan = chow_scan(series, n_candidates) if scan is None else scan
-    best = _best(scan, series.keys, F.col("f"), ["break_index", "f", "p_value", "significant"])
+    best = _with_short(series, _best(scan, series.keys, F.col("f"), ["break_index", "f", "p_value", "significant"]))
     return _break_dates(series, best)
 
 
@@ -177,18 +184,19 @@ def mean_shift_scan(series: Series, n_candidates: int = 50) -> DataFrame:
                       m2.alias("m2"), v1.alias("v1"), v2.alias("v2"), n1.alias("n1"), n2.alias("n2"))
     v = F.col("v1") + F.col("v2")
     ok = (F.col("n1") >= 3) & (F.col("n2") >= 3) & (v > 0) & (F.col("n") >= MIN_ROWS)
-    t = (F.col("m1") - F.col("m2")) / F.sqrt(v)
-    df = v * v / (F.col("v1") * F.col("v1") / (F.col("n1") - 1) + F.col("v2") * F.col("v2") / (F.col("n2") - 1))
+    t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(v))
+    df = F.try_divide(v * v, F.col("v1") * F.col("v1") / (F.col("n1") - 1) + F.col("v2") * F.col("v2") / (F.col("n2") - 1))
     return out.join(means, keys).select(
         *keys, "candidate", "break_index", F.when(ok, t).alias("t"), F.when(ok, df).alias("df"),
         (F.col("m1") + F.col("mean")).alias("mean_before"), (F.col("m2") + F.col("mean")).alias("mean_after"),
-        "n", F.coalesce(_enough(), F.when(~ok, F.lit("Could not compute shift-in-means test"))).alias("error"))
+        "n", F.when(~ok, F.lit("Could not compute shift-in-means test")).alias("error"))
 
 
 def mean_shift(series: Series, n_candidates: int = 50) -> DataFrame:
     """The split with the largest absolute Welch t per series, with its p-value."""
     scan = mean_shift_scan(series, n_candidates)
-    best = _best(scan, series.keys, F.abs("t"), ["break_index", "t", "df", "mean_before", "mean_after"])
+    best = _with_short(series, _best(scan, series.keys, F.abs("t"), [
+        "break_index", "t", "df", "mean_before", "mean_after"]))
     best = best.withColumn("shift_magnitude", F.col("mean_after") - F.col("mean_before"))
     best = best.withColumn("p_value", clean_p(t_tail(F.col("t"), F.col("df"))))
     return _break_dates(series, best.withColumn("significant", F.col("p_value") < 0.05))

@@ -10,7 +10,7 @@ from plumbline.functions.columns import INTEGRAL, columns_of, nested_columns, q
 
 # Delimiters that are tried, in this order on ties.
 DELIMITERS = [",", ";", "\t", "|"]
-CORRUPT = "_corrupt_line"
+EXTRA = "_extra_field"
 
 
 def delimiter_counts(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
@@ -54,14 +54,12 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
         "multiLine", multi_line).option("enforceSchema", True)
     if schema is None:
         schema = reader.option("inferSchema", True).csv(path).schema
+    # One column more than the header: filled only where a line has too many fields. Unlike the
+    # parser's own record of corrupt lines this also holds when few columns are read.
     names = [f.name for f in schema.fields]
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = reader.schema(full).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", CORRUPT).csv(path)
-    bare = F.regexp_replace(CORRUPT, '"[^"]*"', "")
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
-    kept = rows.where(F.col(CORRUPT).isNull() | (fields <= len(names)))
-    return kept.select(*[q(c).alias(c.lstrip("﻿")) for c in names])
+    full = T.StructType([*schema.fields, T.StructField(EXTRA, T.StringType())])
+    rows = reader.schema(full).option("mode", "PERMISSIVE").csv(path).where(F.col(EXTRA).isNull())
+    return rows.select(*[q(c).alias(c.lstrip("\ufeff")) for c in names])
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
