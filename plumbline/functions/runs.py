@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 from plumbline.functions.tables import attach, write_table
 
 
+def _placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Written table of distinct (keys, order) with ``copies``, range partitioned; ``chunk`` is the partition."""
+    runs = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("copies"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_table(
+        runs.repartitionByRange(parts, *keys, *order).withColumn("chunk", F.spark_partition_id()))
+
+
 def ranked_runs(df: DataFrame, keys: list[str], order: list[str],
                 sums: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct (keys, order): ``copies``, ``start``, ``total``, ``prev``.
@@ -26,13 +34,8 @@ def ranked_runs(df: DataFrame, keys: list[str], order: list[str],
     order columns and ``copies``; ``sum(expr)`` comes back as ``name``, and
     ``sum(expr * mean position)`` as ``name_at``.
     """
-    spark = df.sparkSession
     sums = sums or {}
-    runs = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("copies"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = write_table(
-        runs.repartitionByRange(parts, *keys, *order).withColumn("chunk", F.spark_partition_id()))
-
+    placed = _placed(df, keys, order)
     inside = W.partitionBy("chunk", *keys).orderBy(*order)
     local = placed.withColumn(
         "_before", F.coalesce(F.sum("copies").over(inside.rowsBetween(W.unboundedPreceding, -1)),
@@ -64,16 +67,24 @@ def ranked_runs(df: DataFrame, keys: list[str], order: list[str],
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per key, one column per probability."""
-    runs = ranked_runs(df.where(F.col(value).isNotNull()), keys, [value])
-    last = F.col("start") + F.col("copies") - 1
-    picks = []
-    for name, p in probs.items():
-        at = F.lit(p) * (F.col("total") - 1)
-        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picks.append(F.max(F.when((F.col("start") <= pos) & (pos <= last), F.col(value)))
-                         .alias(f"_{name}_{side}"))
-    total = F.max("total").alias("_n")
-    picked = runs.groupBy(*keys).agg(total, *picks)
+    placed = _placed(df.where(F.col(value).isNotNull()), keys, [value])
+    whole = W.partitionBy(*keys)
+    sizes = placed.groupBy("chunk", *keys).agg(F.sum("copies").alias("_rows"))
+    sizes = sizes.withColumn("_carry", F.sum("_rows").over(whole.orderBy("chunk").rowsBetween(
+        W.unboundedPreceding, 0)) - F.col("_rows")).withColumn("_n", F.sum("_rows").over(whole))
+    spots = {f"_{name}_{side}": near(F.lit(p) * (F.col("_n") - 1)) for name, p in probs.items()
+             for side, near in (("lo", F.floor), ("hi", F.ceil))}
+    # Only the chunks that hold a wanted position are ranked row by row.
+    wanted = F.lit(False)
+    for pos in spots.values():
+        wanted = wanted | ((F.col("_carry") <= pos) & (pos < F.col("_carry") + F.col("_rows")))
+    inside = W.partitionBy("chunk", *keys).orderBy(value)
+    rows = placed.join(sizes.where(wanted), ["chunk", *keys]).withColumn(
+        "_end", F.sum("copies").over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.col("_carry"))
+    start = F.col("_end") - F.col("copies")
+    picked = rows.groupBy(*keys).agg(F.max("_n").alias("_n"), *[
+        F.max(F.when((start <= pos) & (pos < F.col("_end")), F.col(value))).alias(name)
+        for name, pos in spots.items()])
     out = []
     for name, p in probs.items():
         at = F.lit(p) * (F.col("_n") - 1)

@@ -31,10 +31,22 @@ def allowed_mismatches(n_compare: int, threshold: float) -> int:
     return n_compare - math.ceil(n_compare * threshold)
 
 
+def _possible_copies(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows whose 64-bit row hash occurs more than once.
+
+    Only hashes are shuffled to find them, so a table with few copies is not
+    moved as a whole. Different rows may share a hash; callers compare values.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*[q(c) for c in cols]))
+    repeated = write_table(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"))
+    found = lookup(hashed, repeated, ["_hash"], "_times", ["_times"])
+    return found.where("_times IS NOT NULL").drop("_hash", "_times")
+
+
 def duplicate_groups(df: DataFrame, row_id: str, cols: list[str] | None = None) -> DataFrame:
     """group_id (smallest row id), copies, and the columns; one row per group of identical rows."""
     cols = cols or [c for c in df.columns if c != row_id]
-    return nulls_for_nan(df).groupBy(*[q(c) for c in cols]).agg(
+    return _possible_copies(nulls_for_nan(df), cols).groupBy(*[q(c) for c in cols]).agg(
         F.min(q(row_id)).alias("group_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
@@ -84,21 +96,28 @@ def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date:
     """
     df = nulls_for_nan(df)
     cols = [c for c in df.columns if c != row_id]
+    rules = {"rule_b": [date] if date else None,
+             "rule_c": [entity, date] if entity and date else None}
+    spare = {r: allowed_mismatches(len([c for c in cols if c not in k]), threshold)
+             for r, k in rules.items() if k is not None}
+    if not any(m > 0 for m in spare.values()):
+        # All compared columns equal on an equal key is an identical row: one rule answers all.
+        groups = duplicate_groups(df, row_id, cols).withColumn("rule_a", F.lit(True))
+        for rule, keys in rules.items():
+            groups = groups.withColumn(rule, F.lit(keys is not None))
+        return _flag_rows(df, row_id, cols, write_table(groups))
     distinct = write_table(df.groupBy(*[q(c) for c in cols]).agg(
         F.count(F.lit(1)).alias("copies"), F.min(q(row_id)).alias("first_id")))
     exact = F.col("copies") > 1
     marked = distinct.select(*cols, "copies", F.when(exact, F.col("first_id")).alias("group_id"),
                              exact.alias("rule_a"))
-    rules = {"rule_b": [date] if date else None,
-             "rule_c": [entity, date] if entity and date else None}
     for rule, keys in rules.items():
         if keys is None:
             marked = marked.withColumn(rule, F.lit(False))
             continue
         compare = [c for c in cols if c not in keys]
-        m = allowed_mismatches(len(compare), threshold)
-        if m == 0 or not compare:
-            # All compared columns equal on an equal key is an identical row.
+        m = spare[rule]
+        if m == 0:
             marked = marked.withColumn(rule, F.col("rule_a"))
             continue
         near = _near_rows(distinct, keys, compare, m).withColumn(rule, F.lit(True))
@@ -115,7 +134,11 @@ def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date:
         marked = marked.alias("l").join(near.alias("r"), cond, "left").select(
             "l.*", F.coalesce(F.col(f"r.{rule}"), F.lit(False)).alias(rule))
     flagged = write_table(marked.where("rule_a OR rule_b OR rule_c"))
-    out = lookup(df, flagged, cols, "copies", ["rule_a", "rule_b", "rule_c", "group_id"])
+    return _flag_rows(df, row_id, cols, flagged)
+
+
+def _flag_rows(df: DataFrame, row_id: str, cols: list[str], groups: DataFrame) -> DataFrame:
+    out = lookup(df, groups, cols, "copies", ["rule_a", "rule_b", "rule_c", "group_id"])
     flags = [F.coalesce(r, F.lit(False)).alias(r) for r in ("rule_a", "rule_b", "rule_c")]
     return out.select(row_id, *flags, F.col("rule_a").isNotNull().alias("is_duplicate"), "group_id")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import q, to_number
 from plumbline.functions.runs import quantiles
 from plumbline.functions.series import Series
-from plumbline.functions.tables import write_table
+from plumbline.functions.tables import attach, write_table
 from plumbline.operators import breaks, panel
 from plumbline.operators.describe import numbers
 
@@ -56,11 +56,12 @@ def box_summary(df: DataFrame, cols: list[str] | None = None, category: str | No
         ["level"], names, "column", "value").dropna()
     keys = ["column", "level"]
     quart = write_table(quantiles(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}))
-    # (column, level) pairs repeat over the rows: sums per distinct value come first.
-    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("copies"))
+    # Copies are counted first, and a large (column, level) is spread over pieces for the join.
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("copies")).withColumn(
+        "_piece", F.pmod(F.xxhash64("value"), F.lit(256)))
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - spread, F.col("q3") + spread)
-    return counts.join(quart, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    return attach(counts, quart, keys, "_piece").groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.sum("copies").alias("n"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,13 @@ def name_score(name: str) -> int:
     return sum(word in name.lower() for word in DATE_WORDS)
 
 
+def _shape(date_format: str) -> str:
+    """Regular expression of the text a numeric date format can match."""
+    parts = re.findall(r"[A-Za-z]+|[^A-Za-z]", date_format)
+    return "^" + "".join(f"\\d{{{len(p)}}}" if p[0] in "yMdHhmsS" else "." if p.isalpha() else re.escape(p)
+                         for p in parts) + "$"
+
+
 def detect_dates(df: DataFrame, formats: list[str] | None = None, threshold: float = 0.8,
                  cols: list[str] | None = None) -> DataFrame:
     """column, position, name_score, parse_ratio, best_format, is_date, reason in one pass.
@@ -36,7 +45,9 @@ def detect_dates(df: DataFrame, formats: list[str] | None = None, threshold: flo
         text = isinstance(type_of(df, c), T.StringType)
         tries = formats if not isinstance(type_of(df, c), MOMENTS) else [""]
         for j, f in enumerate(tries):
-            hit = F.try_to_timestamp(q(c).cast("string"), F.lit(f)) if f else q(c)
+            # Only text of the right shape is parsed; a failed parse is far dearer than a match.
+            value = q(c).cast("string")
+            hit = F.when(value.rlike(_shape(f)), F.try_to_timestamp(value, F.lit(f))) if f else q(c)
             aggs.append(F.count(hit).alias(f"h_{i}_{j}"))
         aggs.append((F.max(F.contains(q(c), F.lit("%"))) if text else F.lit(False)).alias(f"v_{i}"))
         best = F.array_max(F.array(*[
