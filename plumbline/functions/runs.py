@@ -19,9 +19,8 @@ from plumbline.functions.tables import attach, write_table
 def _placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Written table of distinct (keys, order) with ``copies``, range partitioned; ``chunk`` is the partition."""
     runs = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("copies"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return write_table(
-        runs.repartitionByRange(parts, *keys, *order).withColumn("chunk", F.spark_partition_id()))
+    # No fixed number of partitions, so that adaptive execution may merge small neighbours.
+    return write_table(runs.repartitionByRange(*keys, *order).withColumn("chunk", F.spark_partition_id()))
 
 
 def ranked_runs(df: DataFrame, keys: list[str], order: list[str],

@@ -89,8 +89,7 @@ def category_levels(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def _number_levels(levels: DataFrame) -> DataFrame:
     """Dense numbering of already distinct levels without one task per column."""
-    parts = int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = write_table(levels.repartitionByRange(parts, "column", "level").withColumn(
+    placed = write_table(levels.repartitionByRange("column", "level").withColumn(
         "chunk", F.spark_partition_id()))
     inside = W.partitionBy("chunk", "column").orderBy("level")
     sizes = placed.groupBy("chunk", "column").agg(F.count(F.lit(1)).alias("_n"))

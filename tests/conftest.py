@@ -16,7 +16,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     session = (SparkSession.builder.master("local[8]").appName("plumbline-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.driver.memory", "6g")
+               # Small test tables must still be cut into several range partitions.
+               .config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
