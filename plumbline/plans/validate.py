@@ -101,13 +101,17 @@ def _quality(run: Run, df: DataFrame, cfg: ValidationConfig, date: str | None) -
     rates = run.add("duplicate_rates", lambda: duplicates.duplicate_rates(flags))
     run.add("duplicate_groups", lambda: duplicates.first_groups(rows, row_id, entity, day))
     run.add("duplicate_sample", lambda: duplicates.duplicate_sample(rows, flags, row_id))
-    run.add("category_levels", lambda: roles.category_levels(df, [c for c in string_columns(df) if c != date])
-            if [c for c in string_columns(df) if c != date] else _fail("No text columns"))
+    texts = [c for c in string_columns(df) if c != date]
+    if texts:
+        run.add("category_levels", lambda: roles.category_levels(df, texts))
     if totals is not None and rates is not None:
         run.add("findings_summary", lambda: fd.executive_cards(totals, rates))
 
 
 def _cross_section(run: Run, df: DataFrame, cfg: ValidationConfig, numeric: list[str]) -> None:
+    if not numeric:
+        run.add("cross_section", lambda: _fail("No numeric columns"))
+        return
     run.add("min_max", lambda: describe.min_max(df))
     run.add("describe", lambda: describe.describe(df, numeric))
     run.add("medians", lambda: describe.medians(df, numeric))

@@ -122,3 +122,9 @@ def test_unknown_kind_stops_with_reason(spark):
     df = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-01", 2.0)], "day string, v double")
     res = validate(df)
     assert res["dataset_type"].first().dataset_type == "unknown" and "findings" not in res
+
+
+def test_table_without_numbers(spark):
+    res = validate(spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "x")], "p string, q string"))
+    assert res["cross_section"].first().error == "No numeric columns"
+    assert res["duplicate_rates"].first().duplicate_count == 2
