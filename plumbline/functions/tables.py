@@ -8,7 +8,6 @@ also cuts the lineage and survives the loss of any executor.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +15,19 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, else one on the session's default file system.
+
+    Without the setting a local file system would do for one machine only, so a cluster must name a shared folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        # Only sessions without any checkpoint folder, such as the tests.
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-        named = spark.sparkContext.getCheckpointDir()
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(hadoop).toString().rstrip("/")
+        if root.startswith("file:"):
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = "file://"
+        named = f"{root}/tmp/plumbline-{spark.sparkContext.sparkUser()}/{spark.sparkContext.applicationId}"
     return named.rstrip("/")
 
 
