@@ -1,8 +1,47 @@
-"""Corpus pipeline (stages follow with their operators)."""
+"""Corpus pipeline: quality, exact copies, near copies, mixture, packing; every stage reads what the one before wrote."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.functions.tables import write_table
+from plumbline.llm import exact_dedup, mixing, near_dup, packing, quality_classifier
+from plumbline.llm.common import table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of this corpus, does not reject."""
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the one with the smallest id."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document taken twice comes twice, the last of a source cut at the budget."""
+    return mixing.take(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near),
+          ("mixing sources", mixture), ("best-fit packing", packed)]
+# Trained weights and token ids are beyond SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
