@@ -14,9 +14,10 @@ Steps, each over all rows:
    and size form one group. (shingle, group) pairs meet per shingle in packed buckets; shingles of one group go away,
    those on the frequent list are never gathered in one task.
 3. Star links. Per shingle every set is compared with one centre only, so groups of copies of any size cost a line, not a
-   square. Verified links give components; a second round uses other centres.
+   square. Pairs are filtered by size and by the shingles that their prefixes share, then verified on whole sets; links
+   give components; a second round uses other centres.
 4. The rest. Where a shingle still joins sets of different components, those outside the largest component meet the
-   others; pairs are filtered by size and by the shingles that their prefixes share, and verified on whole sets.
+   others, filtered and verified alike.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.tables import write_table
+from plumbline.llm import bloom
 from plumbline.llm.common import Words, mix64, slices, table
 
 WORDS = 5
 FREQUENT = 16            # a shingle seen so often (in tasks that see it twice) may enter the list
+BATCH_BYTES = 4 << 20    # of text that a task works on at once
 LIST_SIZE = 1 << 17      # and at most so many do: 1 MB of hashes, sent to every task
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -41,64 +44,72 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts in a row, offsets per text)."""
     words = Words(texts, lower=True)
     h = words.hashes()[words.code] if len(words.code) else np.empty(0, np.uint64)
-    out, ends = [], [0]
+    out, ends = [], np.zeros(len(words.count) + 1, np.int64)
     wide = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
     for j in range(WORDS):
         wide += h[j:j + len(wide)] * _STEP[j]
     wide = mix64(wide)
-    for lo, hi in zip(words.ends[:-1], words.ends[1:]):
+    for i, (lo, hi) in enumerate(zip(words.ends[:-1].tolist(), words.ends[1:].tolist())):
         n = hi - lo
         if n >= WORDS:
-            got = np.unique(wide[lo:hi - WORDS + 1])
+            got = np.sort(wide[lo:hi - WORDS + 1])
+            fresh = got[1:] != got[:-1]
+            if not fresh.all():
+                got = got[np.concatenate([[True], fresh])]
+            out.append(got)
+            ends[i + 1] = len(got)
         elif n:
-            got = mix64(np.array([(h[lo:hi] * _STEP[:n]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
-        else:
-            got = np.empty(0, np.uint64)
-        out.append(got)
-        ends.append(ends[-1] + len(got))
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.array(ends)
+            out.append(mix64(np.array([(h[lo:hi] * _STEP[:n]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64)))
+            ends[i + 1] = 1
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.cumsum(ends)
 
 
 def prefix_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-def _prefixes(hashes: np.ndarray, ends: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[np.ndarray]:
-    """Prefix per set: rare shingles by hash, then those of the list from the least frequent on."""
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum (wrapping) of ``values[start:end]`` for every pair; 0 where it is empty."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    return total[ends] - total[starts]
+
+
+def _rare_first(hashes: np.ndarray, ends: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets with the listed shingles moved behind the others, the least frequent first; and which are listed."""
     listed, rank = frequent
-    if len(listed):
-        at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
-        hit = listed[at] == hashes
-    else:
-        at, hit = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-    for lo, hi in zip(ends[:-1], ends[1:]):
-        p, own = prefix_length(hi - lo) if hi > lo else 0, hashes[lo:hi]
-        m = hit[lo:hi]
-        if m.any():
-            last = own[m]
-            own = np.concatenate([own[~m], last[np.argsort(rank[at[lo:hi][m]])]])
-        yield own[:p]
+    if not len(listed) or not len(hashes):
+        return hashes, np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+    hit = listed[at] == hashes
+    if hit.any():
+        hashes, moved = hashes.copy(), hit.copy()
+        count = np.concatenate([[0], np.cumsum(hit)])
+        for i in np.flatnonzero(count[ends[1:]] > count[ends[:-1]]).tolist():
+            lo, hi = ends[i], ends[i + 1]
+            m = hit[lo:hi]
+            own = hashes[lo:hi]
+            last = own[m][np.argsort(rank[at[lo:hi][m]])]
+            hashes[lo:hi] = np.concatenate([own[~m], last])
+            moved[lo:hi] = np.arange(hi - lo) >= hi - lo - len(last)
+        hit = moved
+    return hashes, hit
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
 
-def _set_key(own: np.ndarray, salt: int) -> np.uint64:
-    with np.errstate(over="ignore"):
-        return mix64(np.array([mix64(own ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64))[0]
-
-
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, rank by frequency) of the list."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in slices(batches, "text"):
-            hashes, _ = shingle_sets(batch.column("text"))
-            values, n = np.unique(hashes, return_counts=True)
+        for batch in slices(batches, "text", BATCH_BYTES):
+            values = np.sort(shingle_sets(batch.column("text"))[0])
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+            n = np.diff(np.append(first, len(values)))
             twice = n > 1
-            values, at = np.unique(np.concatenate([kept[0], values[twice]]), return_inverse=True)
-            kept = values, np.bincount(at, np.concatenate([kept[1], n[twice]])).astype(np.int64)
+            values, at = np.unique(np.concatenate([kept[0], values[first[twice]]]), return_inverse=True)
+            kept = values, np.bincount(at, np.concatenate([kept[1], n[twice]]), len(values)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([_signed(kept[0]), pa.array(kept[1], pa.int64())], names=["shingle", "n"])
 
     top = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(
@@ -108,79 +119,107 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], (len(values) - 1 - order).astype(np.int64)
 
 
-def document_keys(docs: DataFrame, frequent) -> DataFrame:
-    """``doc_id``, ``n`` (set size), ``s1``, ``s2`` (128-bit key of the set), ``group`` (key of prefix and size)."""
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            hashes, ends = shingle_sets(batch.column("text"))
-            sets = [hashes[a:b] for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)),
-                *[_signed(np.array([_set_key(s, salt) for s in sets], np.uint64)) for salt in (1, 2)],
-                _signed(np.array([_set_key(p, 3 + 8 * len(s)) for s, p in zip(sets, _prefixes(hashes, ends, frequent))], np.uint64))],
-                names=["doc_id", "n", "s1", "s2", "group"])
-
-    return docs.mapInArrow(keys, "doc_id long, n long, s1 long, s2 long, group long")
+_PAIR = np.dtype([("shingle", "<u8"), ("group", "<u8")])
+_KEYS = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8"), ("group", "<i8")])
+DOCUMENTS, LISTED = 1 << 40, 1 << 20    # bucket numbers of document rows, and of listed shingles, start here
 
 
-_PAIR = np.dtype([("shingle", "<u8"), ("group", "<u8"), ("n", "<u4")])
+def meetings(docs: DataFrame, frequent) -> DataFrame:
+    """One pass over the texts that gives two kinds of rows.
 
-
-def shared_shingles(docs: DataFrame, frequent) -> DataFrame:
-    """(``shingle``, ``group``, ``n``) for prefix shingles that more than one group has."""
-    spark = docs.sparkSession
-    buckets = min(4096, max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    With ``shingle``: (``shingle``, ``group``) for prefix shingles that more than one group has (or that are listed).
+    Without: a document's ``doc_id``, ``n`` (set size), ``s1``, ``s2`` (128-bit key of its set) and ``group`` (key of its
+    prefix and size). Both are packed into one binary value per bucket and batch, which keeps the shuffle small.
+    """
+    buckets = min(4096, max(32, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = frequent[0]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             hashes, ends = shingle_sets(batch.column("text"))
-            parts = []
-            for size, own in zip(np.diff(ends), _prefixes(hashes, ends, frequent)):
-                part = np.empty(len(own), _PAIR)
-                part["shingle"], part["group"], part["n"] = own, _set_key(own, 3 + 8 * int(size)) if size else 0, size
-                parts.append(part)
-            pairs = np.unique(np.concatenate(parts)) if parts else np.empty(0, _PAIR)
-            where = (mix64(pairs["shingle"]) % np.uint64(buckets)).astype(np.int64)
-            if len(listed):
-                hot = listed[np.minimum(np.searchsorted(listed, pairs["shingle"]), len(listed) - 1)] == pairs["shingle"]
-                where[hot] = -1 - (mix64(pairs["group"][hot]) % np.uint64(buckets)).astype(np.int64)
+            n, starts = np.diff(ends), ends[:-1]
+            s1, s2 = (mix64(_sums(mix64(hashes ^ np.uint64(salt)), starts, ends[1:]) + n.astype(np.uint64)) for salt in (1, 2))
+            hashes, hit = _rare_first(hashes, ends, frequent)
+            p = np.where(n > 0, prefix_length(n), 0)
+            group = mix64(_sums(mix64(hashes ^ np.uint64(3)), starts, starts + p) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            ids = batch.column("doc_id")
+            keys = np.empty(len(n), _KEYS)
+            keys["doc_id"], keys["known"] = ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid())
+            keys["n"], keys["s1"], keys["s2"], keys["group"] = n, s1.view(np.int64), s2.view(np.int64), group.view(np.int64)
+            # Documents of one group deal their prefix once.
+            one = np.zeros(len(n), bool)
+            one[np.unique(group, return_index=True)[1]] = True
+            q = np.where(one, p, 0)
+            inside = np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q) + np.repeat(starts, q)
+            pairs = np.empty(len(inside), _PAIR)
+            pairs["shingle"], pairs["group"] = hashes[inside], np.repeat(group, q)
+            where = (mix64(pairs["shingle"]) % np.uint64(buckets)).astype(np.int16)
+            hot = hit[inside]
+            where[hot] = -1 - (mix64(pairs["group"][hot]) % np.uint64(buckets)).astype(np.int16)
             order = np.argsort(where, kind="stable")
             pairs, where = pairs[order], where[order]
-            names, starts = np.unique(where, return_index=True)
-            cuts = [*starts, len(pairs)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(names, pa.int64()),
-                pa.array([pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["bucket", "pairs"])
+            cuts = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(where)) if len(where) else np.zeros(1, int)
+            names = where[cuts[:-1]].astype(np.int64)
+            parts = [pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            spread = int(mix64(np.array([len(n) + int(keys["s1"].sum())], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.where(names < 0, LISTED - names, names), DOCUMENTS + spread)),
+                                              pa.array([*parts, keys.tobytes()], pa.binary())], names=["bucket", "pairs"])
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        pairs = np.unique(np.frombuffer(b"".join(rows.column("pairs").to_pylist()), _PAIR))
-        if key[0].as_py() >= 0:
-            same = pairs["shingle"][1:] == pairs["shingle"][:-1]
-            pairs = pairs[np.r_[same, False] | np.r_[False, same]] if len(pairs) else pairs
-        return pa.table({"shingle": _signed(pairs["shingle"]), "group": _signed(pairs["group"]),
-                         "n": pa.array(pairs["n"].astype(np.int64))})
-
-    return docs.select("text").mapInArrow(deal, "bucket long, pairs binary").groupBy("bucket").applyInArrow(
-        meet, "shingle long, group long, n long")
-
-
-def _sets(docs: DataFrame) -> DataFrame:
+        bucket, data = key[0].as_py(), b"".join(rows.column("pairs").to_pylist())
+        if bucket >= DOCUMENTS:
+            keys = np.frombuffer(data, _KEYS)
+            ids = pa.array(keys["doc_id"], mask=keys["known"] == 0)
+            none = pa.nulls(len(keys), pa.int64())
+            return pa.table([none, pa.array(keys["group"]), ids, *[pa.array(keys[c]) for c in ("n", "s1", "s2")]],
+                            names=["shingle", "group", "doc_id", "n", "s1", "s2"])
+        pairs = np.frombuffer(data, _PAIR)
+        shingle, group = np.ascontiguousarray(pairs["shingle"]), pairs["group"]
+        if bucket < LISTED:
+            order = np.argsort(shingle)
+            shingle, group = shingle[order], group[order]
+            same = shingle[1:] == shingle[:-1]
+            several = np.append(same, False) | np.append(False, same) if len(shingle) else np.zeros(0, bool)
+            shingle, group = shingle[several], group[several]
+        none = pa.nulls(len(shingle), pa.int64())
+        return pa.table([_signed(shingle), _signed(group), none, none, none, none], names=["shingle", "group", "doc_id", "n", "s1", "s2"])
+
+    return docs.mapInArrow(deal, "bucket long, pairs binary").groupBy("bucket").applyInArrow(
+        meet, "shingle long, group long, doc_id long, n long, s1 long, s2 long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(``node``, ``hashes``) of the documents in ``wanted`` (one column ``node``, distinct).
+
+    A Bloom filter keeps other texts from travelling to the exact join.
+    """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_BYTES):
             hashes, ends = shingle_sets(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(hashes))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["node", "hashes"])
 
-    return docs.mapInArrow(emit, "node long, hashes array<long>")
+    near = bloom.probe(docs, "doc_id", bloom.build(wanted, "node"), "_maybe").where("_maybe").drop("_maybe")
+    exact = near.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text")
+    return exact.mapInArrow(emit, "node long, hashes array<long>")
+
 
+def _linked(pairs: DataFrame, lists: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``, distinct) whose whole sets link, as a written table.
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) whose whole sets link."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
+    First the size filter and the prefix filter: what two linked sets share beyond the shingles that both prefixes hold
+    lies behind the prefix of one of them. Only documents of the pairs left are read again.
+    """
+    side = [lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"t{x}")) for x in "ab"]
+    counted = pairs.join(side[0], "a").join(side[1], "b").where((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
+    beyond = F.ceil(F.greatest("na", "nb") * 0.75) - 1
+    could = write_table(counted.where(7 * (F.size(F.array_intersect("ta", "tb")) + beyond) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
+    wanted = write_table(could.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = write_table(_sets(docs, wanted))
+    one = could.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
-    return two.withColumn("_both", both).where(100 * F.col("_both") >= 75 * (F.size("ha") + F.size("hb") - F.col("_both"))).select("a", "b")
+    return write_table(two.select("a", "b", both.alias("k"), (F.size("ha") + F.size("hb")).alias("sum")).where(
+        100 * F.col("k") >= 75 * (F.col("sum") - F.col("k"))).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,45 +258,37 @@ def _close(a: Column, b: Column) -> Column:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that links lead to)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_shingles(docs)
-    rows = write_table(document_keys(docs, frequent))
+    met = write_table(meetings(docs, frequent_shingles(docs)))
+    rows = met.where("shingle IS NULL").select("doc_id", "n", "s1", "s2", "group")
     nodes = write_table(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n", "group").agg(F.min("doc_id").alias("node")))
-    shared = shared_shingles(docs, frequent)
     # Groups are expanded to their members; a group of several different sets is a bucket of its own besides.
-    wide = nodes.groupBy("group", "n").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("group", "n")
-    own = nodes.join(wide, ["group", "n"]).select(F.col("group").alias("shingle"), "node", "n")
-    members = write_table(shared.join(nodes, ["group", "n"]).select("shingle", "node", "n").unionByName(own).distinct())
-    met = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    buckets = write_table(members.join(met, "shingle"))
-    scored = write_table(buckets.groupBy("node").agg((F.sum("k") / F.max("n")).alias("score")))
-    sets = write_table(_sets(docs.join(scored.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")))
+    members = met.where("shingle IS NOT NULL").select("shingle", "group").distinct().join(nodes, "group").select("shingle", "node", "n")
+    wide = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("group")
+    members = members.unionByName(nodes.join(wide, "group").select(F.col("group").alias("shingle"), "node", "n"))
+    buckets = write_table(members)
+    sizes = buckets.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    lists = write_table(buckets.join(sizes, "shingle").groupBy("node").agg(
+        F.max("n").alias("n"), F.collect_list("shingle").alias("shingles"), (F.sum("k") / F.max("n")).alias("score")))
     # Round 1: the centre is the member whose shingles are the most common, which the base of a family of copies is.
-    ranked = buckets.join(scored, "node").select("shingle", "node", "n", "score")
-    best = ranked.groupBy("shingle").agg(F.max(F.struct("score", (-F.col("node")).alias("c"), F.col("n").alias("cn"))).alias("m"))
-    pairs = ranked.join(best, "shingle").select(F.col("node").alias("a"), (-F.col("m.c")).alias("b"), "n", F.col("m.cn").alias("cn"))
-    pairs = pairs.where((F.col("a") != F.col("b")) & _close(F.col("n"), F.col("cn"))).select("a", "b").distinct()
-    found = components(_linked(pairs, sets))
-
-    def placed(known: DataFrame) -> DataFrame:
-        known = known.withColumnRenamed("node", "_node")
-        return buckets.join(known, F.col("node") == F.col("_node"), "left").select(
-            "shingle", "node", "n", F.coalesce("component", "node").alias("component"))
+    spread = lists.select("node", "n", "score", F.explode("shingles").alias("shingle"))
+    best = spread.groupBy("shingle").agg(F.max(F.struct("score", (-F.col("node")).alias("c"))).alias("m"))
+    pairs = spread.join(best, "shingle").select(F.col("node").alias("a"), (-F.col("m.c")).alias("b")).where("a <> b").distinct()
+    found = components(_linked(pairs, lists, docs))
 
     def open_buckets(known: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components."""
-        here = write_table(placed(known))
+        home = lists.join(known, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "shingles")
+        here = write_table(home.select("node", "n", "component", F.explode("shingles").alias("shingle")))
         several = here.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         return write_table(here.join(several.select("shingle"), "shingle"))
 
     # Round 2: a random centre for what is apart yet.
     left = open_buckets(found)
-    turn = F.xxhash64("node", F.lit(2))
-    best = left.groupBy("shingle").agg(F.max(F.struct(turn.alias("h"), F.col("node").alias("c"), F.col("n").alias("cn"),
+    best = left.groupBy("shingle").agg(F.max(F.struct(F.xxhash64("node", F.lit(2)).alias("h"), F.col("node").alias("c"),
                                                       F.col("component").alias("cc"))).alias("m"))
-    pairs = left.join(best, "shingle").where((F.col("component") != F.col("m.cc")) & _close(F.col("n"), F.col("m.cn"))).select(
+    pairs = left.join(best, "shingle").where(F.col("component") != F.col("m.cc")).select(
         F.col("node").alias("a"), F.col("m.c").alias("b")).distinct()
-    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components(known.unionByName(_linked(pairs, sets)))
+    found = components(_edges(found).unionByName(_linked(pairs, lists, docs)))
     # The rest: whoever is outside the largest component of a bucket meets the other components there.
     left = open_buckets(found)
     largest = left.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(
@@ -266,19 +297,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one, two = here.where("stray").alias("l"), here.alias("r")
     cross = one.join(two, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") != F.col("r.component"))
                      & _close(F.col("l.n"), F.col("r.n")) & (~F.col("r.stray") | (F.col("l.node") < F.col("r.node"))))
-    counted = cross.groupBy(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).agg(
+    pairs = cross.groupBy(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).agg(
         F.count(F.lit(1)).alias("k"), F.max(F.col("l.n") + F.col("r.n")).alias("sum"), F.max(F.greatest("l.n", "r.n")).alias("top"))
-    # Beyond the shared prefix shingles, links can only lie in what follows the prefix of one of the two.
-    could = counted.where(7 * (F.col("k") + F.ceil(F.col("top") * 0.75) - 1) >= 3 * F.col("sum")).select("a", "b")
-    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components(known.unionByName(_linked(could, sets)))
-    found = found.withColumnRenamed("node", "_node")
-    homes = nodes.join(found, F.col("node") == F.col("_node"), "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("home"))
+    pairs = pairs.where(7 * (F.col("k") + F.ceil(F.col("top") * 0.75) - 1) >= 3 * F.col("sum")).select("a", "b")
+    found = components(_edges(found).unionByName(_linked(pairs, lists, docs)))
+    homes = nodes.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("home"))
     full = rows.where("n > 0 AND doc_id IS NOT NULL").join(homes, ["s1", "s2", "n"]).select("doc_id", "n", "home")
     rest = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("home"))
     return full.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("home").alias("component_id"))
 
 
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; rows without id stay."""
     gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
