@@ -34,7 +34,7 @@ from plumbline.llm import bloom
 from plumbline.llm.common import Words, mix64, slices, table
 
 WORDS = 5
-FREQUENT = 16            # a shingle seen so often (in tasks that see it twice) may enter the list
+FREQUENT = 4            # a shingle seen so often (in tasks that see it twice) may enter the list
 BATCH_BYTES = 4 << 20    # of text that a task works on at once
 LIST_SIZE = 1 << 17      # and at most so many do: 1 MB of hashes, sent to every task
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -119,7 +119,9 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], (len(values) - 1 - order).astype(np.int64)
 
 
-_PAIR = np.dtype([("shingle", "<u8"), ("group", "<u8")])
+# A shingle and a group travel as the upper 48 bits of their hashes: at most a few more candidates come of it, since pairs
+# are verified on whole sets. ``at`` is the place of the shingle in the set, in 65536ths, rounded down.
+_PAIR = np.dtype([("shingle", "<u4"), ("shingle_low", "<u2"), ("group", "<u4"), ("group_low", "<u2"), ("at", "<u2")])
 _KEYS = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8"), ("group", "<i8")])
 DOCUMENTS, LISTED = 1 << 40, 1 << 20    # bucket numbers of document rows, and of listed shingles, start here
 
@@ -127,7 +129,7 @@ DOCUMENTS, LISTED = 1 << 40, 1 << 20    # bucket numbers of document rows, and o
 def meetings(docs: DataFrame, frequent) -> DataFrame:
     """One pass over the texts that gives two kinds of rows.
 
-    With ``shingle``: (``shingle``, ``group``) for prefix shingles that more than one group has (or that are listed).
+    With ``shingle``: (``shingle``, ``group``, ``at``) for prefix shingles that more than one group has (or that are listed).
     Without: a document's ``doc_id``, ``n`` (set size), ``s1``, ``s2`` (128-bit key of its set) and ``group`` (key of its
     prefix and size). Both are packed into one binary value per bucket and batch, which keeps the shuffle small.
     """
@@ -140,7 +142,7 @@ def meetings(docs: DataFrame, frequent) -> DataFrame:
             s1, s2 = (mix64(_sums(mix64(hashes ^ np.uint64(salt)), starts, ends[1:]) + n.astype(np.uint64)) for salt in (1, 2))
             hashes, hit = _rare_first(hashes, ends, frequent)
             p = np.where(n > 0, prefix_length(n), 0)
-            group = mix64(_sums(mix64(hashes ^ np.uint64(3)), starts, starts + p) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            group = mix64(_sums(mix64(hashes ^ np.uint64(3)), starts, starts + p) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
             ids = batch.column("doc_id")
             keys = np.empty(len(n), _KEYS)
             keys["doc_id"], keys["known"] = ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid())
@@ -149,12 +151,16 @@ def meetings(docs: DataFrame, frequent) -> DataFrame:
             one = np.zeros(len(n), bool)
             one[np.unique(group, return_index=True)[1]] = True
             q = np.where(one, p, 0)
-            inside = np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q) + np.repeat(starts, q)
+            place = np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q)
+            inside = place + np.repeat(starts, q)
+            shingle, own = hashes[inside] >> np.uint64(16), np.repeat(group, q)
             pairs = np.empty(len(inside), _PAIR)
-            pairs["shingle"], pairs["group"] = hashes[inside], np.repeat(group, q)
-            where = (mix64(pairs["shingle"]) % np.uint64(buckets)).astype(np.int16)
+            pairs["shingle"], pairs["shingle_low"] = shingle >> np.uint64(16), shingle & np.uint64(0xFFFF)
+            pairs["group"], pairs["group_low"] = own >> np.uint64(16), own & np.uint64(0xFFFF)
+            pairs["at"] = place * 65536 // np.repeat(n, q)
+            where = (mix64(shingle) % np.uint64(buckets)).astype(np.int16)
             hot = hit[inside]
-            where[hot] = -1 - (mix64(pairs["group"][hot]) % np.uint64(buckets)).astype(np.int16)
+            where[hot] = -1 - (mix64(own[hot]) % np.uint64(buckets)).astype(np.int16)
             order = np.argsort(where, kind="stable")
             pairs, where = pairs[order], where[order]
             cuts = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(where)) if len(where) else np.zeros(1, int)
@@ -170,21 +176,22 @@ def meetings(docs: DataFrame, frequent) -> DataFrame:
             keys = np.frombuffer(data, _KEYS)
             ids = pa.array(keys["doc_id"], mask=keys["known"] == 0)
             none = pa.nulls(len(keys), pa.int64())
-            return pa.table([none, pa.array(keys["group"]), ids, *[pa.array(keys[c]) for c in ("n", "s1", "s2")]],
-                            names=["shingle", "group", "doc_id", "n", "s1", "s2"])
+            return pa.table([none, pa.array(keys["group"]), none, ids, *[pa.array(keys[c]) for c in ("n", "s1", "s2")]], names=names)
         pairs = np.frombuffer(data, _PAIR)
-        shingle, group = np.ascontiguousarray(pairs["shingle"]), pairs["group"]
+        shingle, group = ((pairs[c].astype(np.uint64) << np.uint64(16)) | pairs[f"{c}_low"] for c in ("shingle", "group"))
+        at = pairs["at"]
         if bucket < LISTED:
             order = np.argsort(shingle)
-            shingle, group = shingle[order], group[order]
+            shingle, group, at = shingle[order], group[order], at[order]
             same = shingle[1:] == shingle[:-1]
             several = np.append(same, False) | np.append(False, same) if len(shingle) else np.zeros(0, bool)
-            shingle, group = shingle[several], group[several]
+            shingle, group, at = shingle[several], group[several], at[several]
         none = pa.nulls(len(shingle), pa.int64())
-        return pa.table([_signed(shingle), _signed(group), none, none, none, none], names=["shingle", "group", "doc_id", "n", "s1", "s2"])
+        return pa.table([_signed(shingle), _signed(group), pa.array(at.astype(np.int64)), none, none, none, none], names=names)
 
+    names = ["shingle", "group", "at", "doc_id", "n", "s1", "s2"]
     return docs.mapInArrow(deal, "bucket long, pairs binary").groupBy("bucket").applyInArrow(
-        meet, "shingle long, group long, doc_id long, n long, s1 long, s2 long")
+        meet, ", ".join(f"{c} long" for c in names))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -209,7 +216,7 @@ def _linked(pairs: DataFrame, lists: DataFrame, docs: DataFrame) -> DataFrame:
     First the size filter and the prefix filter: what two linked sets share beyond the shingles that both prefixes hold
     lies behind the prefix of one of them. Only documents of the pairs left are read again.
     """
-    side = [lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"t{x}")) for x in "ab"]
+    side = [lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("entries.shingle").alias(f"t{x}")) for x in "ab"]
     counted = pairs.join(side[0], "a").join(side[1], "b").where((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
     beyond = F.ceil(F.greatest("na", "nb") * 0.75) - 1
     could = write_table(counted.where(7 * (F.size(F.array_intersect("ta", "tb")) + beyond) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
@@ -251,8 +258,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _close(a: Column, b: Column) -> Column:
-    return (4 * a >= 3 * b) & (4 * b >= 3 * a)
+def _can_link(n: str, at: str, m: str, place: str) -> Column:
+    """May two sets of these sizes link if this is the first shingle, in the order of both, that they share?
+
+    Linked sets share 3/7 of their added sizes at least, and what they share cannot lie before the first shared one. So
+    every link passes at one shingle, its first.
+    """
+    n, m = F.col(n), F.col(m)
+    need = 3 * (n + m)
+    return ((4 * n >= 3 * m) & (4 * m >= 3 * n) & (7 * (n - F.floor(F.col(at) * n / 65536)) >= need)
+            & (7 * (m - F.floor(F.col(place) * m / 65536)) >= need))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -262,31 +277,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = met.where("shingle IS NULL").select("doc_id", "n", "s1", "s2", "group")
     nodes = write_table(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n", "group").agg(F.min("doc_id").alias("node")))
     # Groups are expanded to their members; a group of several different sets is a bucket of its own besides.
-    members = met.where("shingle IS NOT NULL").select("shingle", "group").distinct().join(nodes, "group").select("shingle", "node", "n")
+    members = met.where("shingle IS NOT NULL").groupBy("shingle", "group").agg(F.min("at").alias("at")).join(nodes, "group").select(
+        "shingle", "node", "n", "at")
     wide = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("group")
-    members = members.unionByName(nodes.join(wide, "group").select(F.col("group").alias("shingle"), "node", "n"))
+    members = members.unionByName(nodes.join(wide, "group").select(F.col("group").alias("shingle"), "node", "n", F.lit(0).cast("long").alias("at")))
     buckets = write_table(members)
     sizes = buckets.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     lists = write_table(buckets.join(sizes, "shingle").groupBy("node").agg(
-        F.max("n").alias("n"), F.collect_list("shingle").alias("shingles"), (F.sum("k") / F.max("n")).alias("score")))
+        F.max("n").alias("n"), F.collect_list(F.struct("shingle", "at")).alias("entries"), (F.sum("k") / F.max("n")).alias("score")))
     # Round 1: the centre is the member whose shingles are the most common, which the base of a family of copies is.
-    spread = lists.select("node", "n", "score", F.explode("shingles").alias("shingle"))
-    best = spread.groupBy("shingle").agg(F.max(F.struct("score", (-F.col("node")).alias("c"))).alias("m"))
-    pairs = spread.join(best, "shingle").select(F.col("node").alias("a"), (-F.col("m.c")).alias("b")).where("a <> b").distinct()
+    spread = lists.select("node", "n", "score", F.explode("entries").alias("e")).select("node", "n", "score", "e.*")
+    best = spread.groupBy("shingle").agg(F.max(F.struct("score", (-F.col("node")).alias("c"), F.col("n").alias("n"), F.col("at").alias("at"))).alias("m"))
+    pairs = spread.join(best, "shingle").where(_can_link("n", "at", "m.n", "m.at")).select(
+        F.col("node").alias("a"), (-F.col("m.c")).alias("b")).where("a <> b").distinct()
     found = components(_linked(pairs, lists, docs))
 
     def open_buckets(known: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components."""
-        home = lists.join(known, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "shingles")
-        here = write_table(home.select("node", "n", "component", F.explode("shingles").alias("shingle")))
+        home = lists.join(known, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.explode("entries").alias("e"))
+        here = write_table(home.select("node", "n", "component", "e.*"))
         several = here.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         return write_table(here.join(several.select("shingle"), "shingle"))
 
     # Round 2: a random centre for what is apart yet.
     left = open_buckets(found)
-    best = left.groupBy("shingle").agg(F.max(F.struct(F.xxhash64("node", F.lit(2)).alias("h"), F.col("node").alias("c"),
-                                                      F.col("component").alias("cc"))).alias("m"))
-    pairs = left.join(best, "shingle").where(F.col("component") != F.col("m.cc")).select(
+    best = left.groupBy("shingle").agg(F.max(F.struct(F.xxhash64("node", F.lit(2)).alias("h"), F.col("node").alias("c"), F.col("component").alias("cc"),
+                                                      F.col("n").alias("n"), F.col("at").alias("at"))).alias("m"))
+    pairs = left.join(best, "shingle").where((F.col("component") != F.col("m.cc")) & _can_link("n", "at", "m.n", "m.at")).select(
         F.col("node").alias("a"), F.col("m.c").alias("b")).distinct()
     found = components(_edges(found).unionByName(_linked(pairs, lists, docs)))
     # The rest: whoever is outside the largest component of a bucket meets the other components there.
@@ -296,10 +313,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     here = left.join(largest, "shingle").withColumn("stray", F.col("component") != F.col("main"))
     one, two = here.where("stray").alias("l"), here.alias("r")
     cross = one.join(two, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") != F.col("r.component"))
-                     & _close(F.col("l.n"), F.col("r.n")) & (~F.col("r.stray") | (F.col("l.node") < F.col("r.node"))))
-    pairs = cross.groupBy(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).agg(
-        F.count(F.lit(1)).alias("k"), F.max(F.col("l.n") + F.col("r.n")).alias("sum"), F.max(F.greatest("l.n", "r.n")).alias("top"))
-    pairs = pairs.where(7 * (F.col("k") + F.ceil(F.col("top") * 0.75) - 1) >= 3 * F.col("sum")).select("a", "b")
+                     & _can_link("l.n", "l.at", "r.n", "r.at") & (~F.col("r.stray") | (F.col("l.node") < F.col("r.node"))))
+    pairs = cross.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     found = components(_edges(found).unionByName(_linked(pairs, lists, docs)))
     homes = nodes.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("home"))
     full = rows.where("n > 0 AND doc_id IS NOT NULL").join(homes, ["s1", "s2", "n"]).select("doc_id", "n", "home")
