@@ -69,7 +69,7 @@ class Words:
                            np.uint64, len(self.names))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` of text (a longer text is a batch of its own)."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
@@ -80,3 +80,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             # A copy: kernels on string lists misread the offsets of a slice.
             yield batch.take(pa.array(np.arange(start, stop)))
             start = stop
+        del batch, size
+        # Workers are reused for hours; what a large batch took goes back at once.
+        pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ from plumbline.llm.common import Words, mix64, slices, table
 
 WORDS = 5
 FREQUENT = 4            # a shingle seen so often (in tasks that see it twice) may enter the list
-BATCH_BYTES = 4 << 20    # of text that a task works on at once
+BATCH_BYTES = 2 << 20    # of text that a task works on at once
 LIST_SIZE = 1 << 17      # and at most so many do: 1 MB of hashes, sent to every task
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
