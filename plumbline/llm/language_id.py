@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.tables import write_table
 from plumbline.llm.common import SPACE_RUN, Words, crc_mod, slices, table
 
-FIT_ROWS = 40_000                     # bound on the labelled documents that are learned from (by hash of the id)
+FIT_ROWS = 40_000                     # labelled documents to learn from (a share of that size, by hash of the id)
 WORD_TABLE, GRAM_TABLE = 200_000, 50_000   # most frequent words, and n-grams of each length, that are kept
 LONGEST = 5
 LEAST_SEEN = 2                        # a word seen less often is left to its n-grams
@@ -93,10 +93,10 @@ def train(docs: DataFrame, learn_from: Column | None = None, fit_rows: int = FIT
     known = docs.where("lang IS NOT NULL")
     if learn_from is not None:
         known = known.where(learn_from)
-    # A hash picks the sample in the scan, a little below the bound; the limit only guards against repeated ids.
-    share = 0.98 * fit_rows / max(1, known.count())
+    # A hash picks the sample in the scan; a LIMIT would gather it in one task.
+    share = fit_rows / max(1, known.count())
     near = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20))
-    picked = (known.where(near).limit(fit_rows) if share < 1 else known).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    picked = (known.where(near) if share < 1 else known).select("lang", F.coalesce("text", F.lit("")).alias("text"))
     word = F.lower(F.regexp_replace("w", r"[^\p{L}]+", ""))
     words = write_table(picked.select("lang", F.explode(F.split("text", SPACE_RUN)).alias("w")).groupBy("lang", "w").agg(
         F.count(F.lit(1)).alias("n")).select("lang", word.alias("w"), "n").where("w <> ''").groupBy("lang", "w").agg(F.sum("n").alias("n")))
