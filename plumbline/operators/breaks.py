@@ -24,12 +24,13 @@ from plumbline.functions.tails import clean_p, t_tail
 from plumbline.operators.stationarity import Moments, _scaled_inverse, adf_max_lag, difference_moments
 
 MIN_ROWS = 30
+TOO_SHORT = f"fewer than {MIN_ROWS} observations"
 CUSUM_BOUNDARY = 0.948
 
 
 def _enough(n: Column | str = "n") -> Column:
     n = F.col(n) if isinstance(n, str) else n
-    return F.when(n < MIN_ROWS, F.lit(f"Need at least {MIN_ROWS} observations for structural break tests"))
+    return F.when(n < MIN_ROWS, F.lit(TOO_SHORT))
 
 
 def _margin(n: Column, least: int) -> Column:
@@ -398,91 +399,81 @@ def zivot_andrews(series: Series, model: str = "c", trim: float = 0.15) -> DataF
 
 # ---------------------------------------------------------------- Bai-Perron
 
-def _segment_search(y: np.ndarray, max_k: int, min_size: int) -> tuple[list[float], list[list[int]]]:
-    """Smallest residual sums and break positions for 0..max_k mean breaks (dynamic programme)."""
-    n = len(y)
-    y = y - y.mean()
-    s1, s2 = np.r_[0.0, np.cumsum(y)], np.r_[0.0, np.cumsum(y * y)]
-    ends = np.arange(n + 1)
-    cost = np.full(n + 1, np.inf)
-    ok = ends >= min_size
-    cost[ok] = s2[ok] - s1[ok] ** 2 / ends[ok]
-    rss, came = [cost[n]], []
-    for k in range(1, max_k + 1):
-        nxt, frm = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range((k + 1) * min_size, n + 1):
-            c = np.arange(k * min_size, j - min_size + 1)
-            last = s2[j] - s2[c] - (s1[j] - s1[c]) ** 2 / (j - c)
-            both = cost[c] + last
-            i = int(np.argmin(both))
-            nxt[j], frm[j] = both[i], c[i]
-        cost = nxt
-        came.append(frm)
-        rss.append(cost[n])
-    paths = []
-    for k in range(max_k + 1):
-        at, path = n, []
-        for level in range(k, 0, -1):
-            at = int(came[level - 1][at])
-            path.append(at)
-        paths.append(path[::-1])
-    return rss, paths
-
-
-def bai_perron_table(series: Series, max_breaks: int = 5, min_segment: float = 0.10,
-                     max_obs: int = 3000) -> DataFrame:
-    """keys, n_breaks, break_indices, bic, selected, rss, thinned, error: one row per number of breaks.
-
-    The search is quadratic in the points it looks at. A series longer than
-    ``max_obs`` is searched on every (n div max_obs)-th point, fewer than
-    2 x ``max_obs`` of them, so a group has a fixed upper size; positions are
-    given in the original series.
+ENDS, STARTS = 512, 8192   # a matrix of so many segment ends and starts is scored at once
+
+
+def explained_by_breaks(y: np.ndarray, most: int, shortest: int) -> list[tuple[float, list[int]]]:
+    """For 0, 1, .. ``most`` breaks: (residual sum of squares, positions where a new segment begins).
+
+    With values centred, a segment of sum S and length m explains S^2 / m. The best total over k + 1 segments that end
+    at j is the maximum over starts c of (best over k segments that end at c) + (P[j] - P[c])^2 / (j - c), with P the
+    running sum; equal totals go to the earliest start. All points count: work is quadratic in them, memory linear.
+    """
+    total = np.concatenate([[0.0], np.cumsum(y - y.mean())])
+    size = len(y)
+    place = np.arange(size + 1)
+    reached = np.where(place >= shortest, total ** 2 / np.maximum(place, 1), -np.inf)
+    origin: list[np.ndarray] = []
+    out = [(float(((y - y.mean()) ** 2).sum() - reached[size]), [])]
+    for k in range(1, most + 1):
+        value, start = np.full(size + 1, -np.inf), np.zeros(size + 1, np.int64)
+        for lo in range((k + 1) * shortest, size + 1, ENDS):
+            ends = place[lo:lo + ENDS]
+            for first in range(k * shortest, int(ends[-1]) - shortest + 1, STARTS):
+                begin = place[first:min(first + STARTS, int(ends[-1]) - shortest + 1)]
+                length = ends[:, None] - begin[None, :]
+                gain = np.where(length >= shortest, reached[begin] + (total[ends][:, None] - total[begin]) ** 2 / np.maximum(length, 1), -np.inf)
+                at = gain.argmax(axis=1)
+                top = gain[np.arange(len(ends)), at]
+                better = top > value[ends]
+                value[ends[better]], start[ends[better]] = top[better], begin[at[better]]
+        reached = value
+        origin.append(start)
+        path, at = [], size
+        for level in reversed(origin):
+            at = int(level[at])
+            path.insert(0, at)
+        out.append((float(((y - y.mean()) ** 2).sum() - reached[size]), path))
+    return out
+
+
+def bai_perron_table(series: Series, max_breaks: int = 5, min_segment: float = 0.10) -> DataFrame:
+    """keys, n_breaks, break_indices, bic, selected, rss, error: one row per number of breaks.
+
+    Exact over every point of a series. A series is searched in one task, so this is for many series of up to some
+    100,000 points rather than for one without end: the time grows with the square of the length.
     """
     keys = series.keys
-    step = F.greatest(F.floor(F.col("n") / max_obs), F.lit(1))
-    step = F.when(F.col("n") > max_obs, step).otherwise(1)
-    thin = series.rows.where(F.col("t") % step == 0).select(*keys, "t", "n", "y")
-    schema = T.StructType([*key_fields(thin, keys)] + [T.StructField(c, t) for c, t in (
+    schema = T.StructType([*key_fields(series.rows, keys)] + [T.StructField(c, t) for c, t in (
         ("n_breaks", T.IntegerType()), ("break_indices", T.ArrayType(T.LongType())), ("bic", T.DoubleType()),
-        ("selected", T.BooleanType()), ("rss", T.DoubleType()), ("thinned", T.BooleanType()),
-        ("error", T.StringType()))])
+        ("selected", T.BooleanType()), ("rss", T.DoubleType()), ("error", T.StringType()))])
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        n_full, y = int(pdf["n"].iloc[0]), pdf["y"].to_numpy(float)
-        least = max(5, int(n_full * min_segment))
-        base = {k: v for k, v in zip(keys, key, strict=False)}
-        rows, error = [], None
-        if n_full < 30:
-            error = "Need at least 30 observations for structural break tests"
-        elif n_full < 3 * least:
-            error = f"Series too short for Bai-Perron (need {3 * least} obs, have {n_full})"
+        y = pdf.sort_values("t")["y"].to_numpy(float)
+        n, named = len(y), dict(zip(keys, key, strict=False))
+        # 30 points at least, segments of a tenth and never under 3, room for 3 segments of 5 or more.
+        room, shortest = max(5, int(n * min_segment)), max(3, int(n * min_segment))
+        problem, found = None, []
+        if n < MIN_ROWS:
+            problem = TOO_SHORT
+        elif n < 3 * room:
+            problem = f"{n} observations leave no room for several segments of {room}"
         else:
-            n = len(y)
-            scale = n_full // max_obs if n_full > max_obs else 1
-            size = max(3, int(n * min_segment))
-            top = max(1, min(max_breaks, n_full // least - 1))
-            top = max(1, min(top, n // size - 1))
-            rss, paths = _segment_search(y, top, size)
-            bics = [float(n * np.log(r / n) + k * np.log(n)) if np.isfinite(r) and r > 0 else None
-                    for k, r in enumerate(rss)]
-            found = [k for k, v in enumerate(bics) if v is not None]
-            if found:
-                best = min(found, key=lambda k: (bics[k], k))
-                rows = [{**base, "n_breaks": k, "break_indices": [b * scale for b in paths[k]],
-                         "bic": bics[k], "selected": k == best, "rss": float(rss[k]),
-                         "thinned": n_full > max_obs, "error": None} for k in found]
-            else:
-                error = "BIC could not be computed"
-        if error:
-            rows = [{**base, "n_breaks": None, "break_indices": None, "bic": np.nan, "selected": None,
-                     "rss": np.nan, "thinned": n_full > max_obs, "error": error}]
+            most = max(1, min(max_breaks, n // room - 1, n // shortest - 1))
+            found = [(k, path, float(n * np.log(rss / n) + k * np.log(n)), rss)
+                     for k, (rss, path) in enumerate(explained_by_breaks(y, most, shortest)) if np.isfinite(rss) and rss > 0]
+            if not found:
+                problem = "no information criterion: nothing is left to explain"
+        chosen = min(found, key=lambda r: (r[2], r[0]))[0] if found else None
+        rows = [{**named, "n_breaks": k, "break_indices": path, "bic": bic, "selected": k == chosen, "rss": rss, "error": None}
+                for k, path, bic, rss in found] or [{**named, "n_breaks": None, "break_indices": None, "bic": np.nan,
+                                                     "selected": None, "rss": np.nan, "error": problem}]
         out = pd.DataFrame(rows)
         out["n_breaks"] = out["n_breaks"].astype("Int32")
         out["selected"] = out["selected"].astype("boolean")
         return out
 
-    return thin.groupBy(*keys).applyInPandas(search, schema)
+    return series.rows.select(*keys, "t", "y").groupBy(*keys).applyInPandas(search, schema)
 
 
 def bai_perron_segments(series: Series, table: DataFrame) -> DataFrame:

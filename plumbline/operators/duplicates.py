@@ -87,12 +87,11 @@ def _near_rows(distinct: DataFrame, keys: list[str], compare: list[str], m: int)
 
 
 def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date: str | None = None,
-                    threshold: float = 0.95, exact_above: int | None = None) -> DataFrame:
+                    threshold: float = 0.95) -> DataFrame:
     """row id, rule_a, rule_b, rule_c, is_duplicate, group_id for every row.
 
     rule_a: identical row; rule_b: same date and at least ``threshold`` of the
     other columns equal; rule_c: the same within entity and date. With
-    ``exact_above`` key groups of more rows than that are matched exactly only.
     """
     df = nulls_for_nan(df)
     cols = [c for c in df.columns if c != row_id]
@@ -121,11 +120,6 @@ def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date:
             marked = marked.withColumn(rule, F.col("rule_a"))
             continue
         near = _near_rows(distinct, keys, compare, m).withColumn(rule, F.lit(True))
-        if exact_above is not None:
-            sizes = write_table(distinct.groupBy(*[q(c) for c in keys]).agg(
-                F.sum("copies").alias("_size")).where(F.col("_size") > exact_above))
-            near = lookup(near, sizes, keys, "_size", ["_size"])
-            near = near.where((F.col("copies") > 1) | F.col("_size").isNull()).drop("_size")
         near = write_table(near.select(*cols, rule).withColumn("_one", F.lit(1)))
         # Both sides hold each distinct row once, so no key can be hot here.
         cond = F.lit(True)

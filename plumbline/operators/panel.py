@@ -89,9 +89,9 @@ def panel_average(df: DataFrame, date: str, value: str) -> DataFrame:
 def snapshot(df: DataFrame, entity: str, date: str, value: str, at=None, max_entities: int = 30) -> DataFrame:
     """entity, ts, value at one date (default: the last); the largest values when there are more."""
     rows = df.select(q(entity).alias("entity"), to_moment(df, date).alias("ts"), to_number(df, value).alias("value"))
-    if at is None:
-        at = rows.agg(F.max("ts")).first()[0]
-    return rows.where(F.col("ts") == F.lit(at)).orderBy(
+    # Neither date passes through the driver's time zone.
+    day = rows.agg(F.max("ts")).scalar() if at is None else F.lit(str(at)).cast("timestamp_ntz")
+    return rows.where(F.col("ts") == day).orderBy(
         F.desc_nulls_last("value"), "entity").limit(max_entities)
 
 

@@ -111,11 +111,11 @@ def normality_findings(table: DataFrame) -> DataFrame:
 
 
 def correlation_findings(table: DataFrame, method: str = "pearson", cols: list[str] | None = None) -> DataFrame:
-    """Strength of every pair of different columns; ``cols`` limits it to the shown ones (first 15)."""
+    """Strength of every pair of different columns; ``cols`` limits it to pairs of those."""
     r = F.abs("r")
     rows = table.where("col_a < col_b AND r IS NOT NULL")
     if cols is not None:
-        rows = rows.where(F.col("col_a").isin(cols[:15]) & F.col("col_b").isin(cols[:15]))
+        rows = rows.where(F.col("col_a").isin(cols) & F.col("col_b").isin(cols))
     return finding(rows, "correlation", F.concat_ws(" / ", "col_a", "col_b"), method, F.col("r"),
                    F.when(r >= 0.7, "bad").when(r >= 0.4, "warn").otherwise("ok"),
                    F.when(r >= 0.7, "Strong").when(r >= 0.4, "Moderate").otherwise("Weak"))

@@ -131,11 +131,6 @@ QUERIES = {
         lambda s, d: order_flags(s, d, threshold=0.5).select("o_orderkey", "rule_a", "rule_b", "rule_c"),
         f"WITH {ORDER_GROUPS}, {NEAR} SELECT o_orderkey, dup AS rule_a, rule_b, dup AS rule_c "
         "FROM f JOIN near USING (o_orderkey)"),
-    "near_duplicates_large_groups_exact": (
-        lambda s, d: order_flags(s, d, threshold=0.5, exact_above=6).select("o_orderkey", "rule_b"),
-        f"WITH {ORDER_GROUPS}, {NEAR} SELECT o_orderkey, dup OR (rule_b AND "
-        "count(*) OVER (PARTITION BY o_orderdate) <= 6) AS rule_b "
-        "FROM f JOIN near USING (o_orderkey) JOIN orders USING (o_orderkey)"),
     "key_duplicates_orders": (
         lambda s, d: duplicates.key_duplicates(table(s, d, "orders"), "o_orderkey", ["o_custkey", "o_orderdate"]),
         "SELECT o_orderkey, copies FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderdate) "

@@ -97,10 +97,11 @@ def _quality(run: Run, df: DataFrame, cfg: ValidationConfig, date: str | None) -
     names = [c for c in df.columns if c != row_id]
     day = date or duplicates.guess_column(names, duplicates.DATE_WORDS)
     entity = cfg.entity_column or duplicates.guess_column(names, duplicates.ENTITY_WORDS)
-    flags = write_table(duplicates.flag_duplicates(rows, row_id, entity, day, cfg.duplicate_threshold))
-    rates = run.add("duplicate_rates", lambda: duplicates.duplicate_rates(flags))
+    flags = run.add("duplicate_flags", lambda: write_table(duplicates.flag_duplicates(rows, row_id, entity, day, cfg.duplicate_threshold)))
+    rates = run.add("duplicate_rates", lambda: duplicates.duplicate_rates(flags)) if flags is not None else None
     run.add("duplicate_groups", lambda: duplicates.first_groups(rows, row_id, entity, day))
-    run.add("duplicate_sample", lambda: duplicates.duplicate_sample(rows, flags, row_id))
+    if flags is not None:
+        run.add("duplicate_sample", lambda: duplicates.duplicate_sample(rows, flags, row_id))
     texts = [c for c in string_columns(df) if c != date]
     if texts:
         run.add("category_levels", lambda: roles.category_levels(df, texts))

@@ -10,7 +10,7 @@ from plumbline.functions.columns import INTEGRAL, columns_of, nested_columns, q
 
 # Delimiters that are tried, in this order on ties.
 DELIMITERS = [",", ";", "\t", "|"]
-EXTRA = "_extra_field"
+ODD_LINE = "_odd_line"
 
 
 def delimiter_counts(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
@@ -54,19 +54,47 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
         "multiLine", multi_line).option("enforceSchema", True)
     if schema is None:
         schema = reader.option("inferSchema", True).csv(path).schema
-    # One column more than the header: filled only where a line has too many fields. Unlike the
-    # parser's own record of corrupt lines this also holds when few columns are read.
+    # The parser keeps a line whose number of fields is not the header's in a column of its own. Columns are not pruned,
+    # so that it counts the fields of every line, however few columns are read.
     names = [f.name for f in schema.fields]
-    full = T.StructType([*schema.fields, T.StructField(EXTRA, T.StringType())])
-    rows = reader.schema(full).option("mode", "PERMISSIVE").csv(path).where(F.col(EXTRA).isNull())
+    full = T.StructType([*schema.fields, T.StructField(ODD_LINE, T.StringType())])
+    rows = reader.schema(full).option("mode", "PERMISSIVE").option("columnPruning", False).option(
+        "columnNameOfCorruptRecord", ODD_LINE).csv(path)
+    # Delimiters outside quotes; lines that are only short, or have a field of another type, stay.
+    bare = F.regexp_replace(F.col(ODD_LINE), r'"[^"]*"', "")
+    found = (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter)
+    # The kept line may not be the only column that a query reads, so the condition reads the first one too.
+    first = F.length(F.coalesce(q(names[0]).cast("string"), F.lit(""))) >= 0
+    rows = rows.where(first & (F.col(ODD_LINE).isNull() | (found < len(names))))
     return rows.select(*[q(c).alias(c.lstrip("\ufeff")) for c in names])
 
 
+def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(files that hold one document over several lines, such as an array; files with a record on every line)."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("line"), F.trim("value", F.lit(" \t\r\ufeff")).alias("v"))
+    first = lines.where("v <> ''").groupBy("file").agg(F.min_by("v", F.struct("at", "line")).alias("v"))
+    by_line = F.col("v").startswith("{") & F.col("v").endswith("}")
+    found = first.select("file", by_line.alias("by_line")).collect()
+    return [r[0] for r in found if not r[1]], [r[0] for r in found if r[1]]
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
-              multi_line: bool = True) -> DataFrame:
-    """An array of records, or one record per line with ``multi_line=False`` (splittable)."""
-    reader = spark.read.option("multiLine", multi_line)
-    return (reader.schema(schema) if schema else reader).json(path)
+              multi_line: bool | None = None) -> DataFrame:
+    """An array of records, or one record per line (splittable).
+
+    Without ``multi_line`` the first line with something in it decides for every file.
+    """
+    def read(paths, several: bool) -> DataFrame:
+        reader = spark.read.option("multiLine", several)
+        return (reader.schema(schema) if schema else reader).json(paths)
+
+    if multi_line is not None:
+        return read(path, multi_line)
+    whole, lines = _json_files(spark, path)
+    if whole and lines:
+        return read(whole, True).unionByName(read(lines, False), allowMissingColumns=True)
+    return read(whole, True) if whole else read(lines or path, False)
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -128,3 +128,33 @@ def test_table_without_numbers(spark):
     res = validate(spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "x")], "p string, q string"))
     assert res["cross_section"].first().error == "No numeric columns"
     assert res["duplicate_rates"].first().duplicate_count == 2
+
+
+def test_json_lines_and_arrays_by_content(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n{"x": 1}\n{"x": 2}\n{"x": 3}\n')
+    (tmp_path / "b.json").write_text('[\n {"x": 4},\n {"x": 5}\n]\n')
+    from plumbline.sources.readers import read_table
+    assert [read_table(spark, str(tmp_path / f"{f}.json")).count() for f in "ab"] == [3, 2]
+    (tmp_path / "both.json").mkdir()
+    for f in "ab":
+        (tmp_path / "both.json" / f"{f}.json").write_text((tmp_path / f"{f}.json").read_text())
+    assert sorted(r.x for r in read_table(spark, str(tmp_path / "both.json")).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_over_long_lines_with_empty_fields(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b,c\n1,2,3\n4,5,6,\n7,8,9,,x\n10,11\n12,"x,y,z",14\n')
+    from plumbline.sources.readers import read_table
+    got = read_table(spark, str(path))
+    assert sorted(r.a for r in got.collect()) == [1, 10, 12] and got.count() == 3
+    assert sorted(r.b for r in got.select("b").collect()) == ["11", "2", "x,y,z"]
+
+
+def test_snapshot_in_another_time_zone(spark):
+    from plumbline.operators.panel import snapshot
+    df = spark.createDataFrame([("a", "2020-01-01", 1.0), ("a", "2020-01-02", 2.0), ("b", "2020-01-02", 3.0)], "e string, d string, v double")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert snapshot(df, "e", "d", "v").count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -236,10 +236,16 @@ def test_bai_perron(make_series):
         assert r.n_obs == len(part) and np.isclose(r.mean, part.mean()) and np.isclose(r.std, part.std(ddof=1))
 
 
-def test_bai_perron_thins_long_series(make_series):
-    y = np.r_[np.zeros(50), np.full(50, 5.0)] + np.tile([0.1, -0.1, 0.3, 0.2, -0.2], 20)
-    got = breaks.bai_perron_table(make_series(a=y), max_obs=40).where("selected").first()
-    assert got.thinned and got.break_indices == [50]
+def test_bai_perron_uses_every_point_of_a_long_series(make_series):
+    rng = np.random.default_rng(11)
+    y = np.r_[rng.normal(0, 1, 1777), rng.normal(3, 1, 1601), rng.normal(1, 1, 1422)]
+    got = breaks.bai_perron_table(make_series(block_rows=1024, a=y), max_breaks=2).where("n_breaks = 2").first()
+    s, q = np.r_[0, np.cumsum(y)], np.r_[0, np.cumsum(y * y)]
+    cost = lambda a, b: q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+    size, ends = 480, np.arange(len(y) + 1)
+    best = min((cost(0, c) + float(rest.min()), c, int(d[rest.argmin()])) for c in range(size, len(y) - 2 * size + 1)
+               for d in [ends[c + size:len(y) - size + 1]] for rest in [cost(c, d) + cost(d, len(y))])
+    assert np.isclose(got.rss, best[0]) and list(got.break_indices) == [best[1], best[2]]
 
 
 def test_bundle_and_labels(series):
