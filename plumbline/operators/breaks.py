@@ -3,8 +3,7 @@
 Candidate scans cut a series into the segments between candidates and sum each
 segment, which is one map-side combined aggregate; sums before and after every
 candidate then follow from at most a few dozen rows per series. Nothing is
-thinned except for Bai-Perron, whose quadratic search is defined on at most
-about 2 x ``max_obs`` points.
+thinned; only Bai-Perron searches a whole series in one task.
 """
 
 from __future__ import annotations

@@ -74,7 +74,7 @@ c AS (SELECT t, n, ts, r, sum(r) OVER (ORDER BY t) / (SELECT stddev_samp(r) FROM
 
 
 def _bai_perron_sql(tail: str) -> str:
-    """Optimal mean breaks of the monthly totals (fewer than 3000 points, so nothing is thinned)."""
+    """Optimal mean breaks of the monthly totals over every point."""
     steps = ["""x AS (SELECT t, n, y - mean AS v FROM s),
 z AS (SELECT max(n) AS n, greatest(3, floor(max(n) * 0.1)::BIGINT) AS size,
  least(5, greatest(1, max(n) // greatest(5, floor(max(n) * 0.1)::BIGINT) - 1)) AS top FROM x),
