@@ -8,6 +8,7 @@ by its length, so text that looks like a record does no harm; an empty table giv
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ def base32_sha1(data: Column) -> Column:
 
 def _write(records: DataFrame, folder: str) -> None:
     """Write records (``record_type``, ``record_id``, ``page_id``, ``url``, ``digest``, ``payload``, ``payload_bytes``,
-    ``refers_to``, ``refers_to_url``) as archives; the text writer adds the two line ends behind each block."""
+    ``refers_to``, ``refers_to_url``) as gzipped archives; the text writer adds the two line ends behind each block."""
     response = F.col("record_type") == "response"
     block = F.when(response, F.concat(F.lit(HTTP), "payload")).otherwise(F.lit(HTTP))
 
@@ -55,7 +56,7 @@ def _write(records: DataFrame, folder: str) -> None:
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
     records.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option(
-        "maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+        "maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(folder)
 
 
 def write_captures(pages: DataFrame, folder: str) -> None:
@@ -79,7 +80,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
-                data, at, rows = content.as_buffer().to_pybytes(), 0, []
+                data, at, rows = gzip.decompress(content.as_buffer()), 0, []
                 while at < len(data):
                     stop = data.index(b"\r\n\r\n", at)
                     lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
