@@ -18,6 +18,10 @@ Steps, each over all rows:
    give components; a second round uses other centres.
 4. The rest. Where a shingle still joins sets of different components, those outside the largest component meet the
    others, filtered and verified alike.
+
+Every set also has a parity sketch of 512 bits: bit i is the parity of its shingles that hash to i. The bits in which two
+sketches differ are at most the shingles in which the sets differ, and linked sets differ in a seventh of their added sizes
+at most, so the sketches rule out pairs before anything else is compared, and never a link.
 """
 
 from __future__ import annotations
@@ -95,6 +99,24 @@ def _rare_first(hashes: np.ndarray, ends: np.ndarray, frequent: tuple[np.ndarray
     return hashes, hit
 
 
+def _sketches(hashes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """The words of the sets' parity sketches, one array over all sets per word."""
+    full = n > 0
+    word, bit = (hashes >> np.uint64(6)) & np.uint64(7), np.uint64(1) << (hashes & np.uint64(63))
+    for w in range(len(SKETCH)):
+        out = np.zeros(len(n), np.uint64)
+        if full.any():
+            out[full] = np.bitwise_xor.reduceat(np.where(word == np.uint64(w), bit, np.uint64(0)), starts[full])
+        yield out.view(np.int64)
+
+
+def _sketch_allows(a: str, b: str, n: str, m: str) -> Column:
+    """May sets of sizes ``n`` and ``m`` link, by their sketches (columns prefixed ``a`` and ``b``)? Null sketches: yes."""
+    apart = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SKETCH[1:]),
+                F.bit_count(F.col(a + SKETCH[0]).bitwiseXOR(F.col(b + SKETCH[0]))))
+    return F.coalesce(7 * apart <= F.col(n) + F.col(m), F.lit(True))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
@@ -122,7 +144,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # A shingle and a group travel as the upper 48 bits of their hashes: at most a few more candidates come of it, since pairs
 # are verified on whole sets. ``at`` is the place of the shingle in the set, in 65536ths, rounded down.
 _PAIR = np.dtype([("shingle", "<u4"), ("shingle_low", "<u2"), ("group", "<u4"), ("group_low", "<u2"), ("at", "<u2")])
-_KEYS = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8"), ("group", "<i8")])
+SKETCH = [f"x{i}" for i in range(8)]    # columns of the sketch, 64 bits each
+_KEYS = np.dtype([(c, "<i8") for c in ("doc_id", "known", "n", "s1", "s2", "group", *SKETCH)])
 DOCUMENTS, LISTED = 1 << 40, 1 << 20    # bucket numbers of document rows, and of listed shingles, start here
 
 
@@ -130,8 +153,8 @@ def meetings(docs: DataFrame, frequent) -> DataFrame:
     """One pass over the texts that gives two kinds of rows.
 
     With ``shingle``: (``shingle``, ``group``, ``at``) for prefix shingles that more than one group has (or that are listed).
-    Without: a document's ``doc_id``, ``n`` (set size), ``s1``, ``s2`` (128-bit key of its set) and ``group`` (key of its
-    prefix and size). Both are packed into one binary value per bucket and batch, which keeps the shuffle small.
+    Without: a document's ``doc_id``, ``n`` (set size), ``s1``, ``s2`` (128-bit key of its set), its sketch and ``group``
+    (key of its prefix and size). Both are packed into one binary value per bucket and batch, which keeps the shuffle small.
     """
     buckets = min(4096, max(32, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -140,6 +163,7 @@ def meetings(docs: DataFrame, frequent) -> DataFrame:
             hashes, ends = shingle_sets(batch.column("text"))
             n, starts = np.diff(ends), ends[:-1]
             s1, s2 = (mix64(_sums(mix64(hashes ^ np.uint64(salt)), starts, ends[1:]) + n.astype(np.uint64)) for salt in (1, 2))
+            sketches = list(_sketches(hashes, starts, n))
             hashes, hit = _rare_first(hashes, ends, frequent)
             p = np.where(n > 0, prefix_length(n), 0)
             group = mix64(_sums(mix64(hashes ^ np.uint64(3)), starts, starts + p) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
@@ -147,6 +171,8 @@ def meetings(docs: DataFrame, frequent) -> DataFrame:
             keys = np.empty(len(n), _KEYS)
             keys["doc_id"], keys["known"] = ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid())
             keys["n"], keys["s1"], keys["s2"], keys["group"] = n, s1.view(np.int64), s2.view(np.int64), group.view(np.int64)
+            for c, x in zip(SKETCH, sketches):
+                keys[c] = x
             # Documents of one group deal their prefix once.
             one = np.zeros(len(n), bool)
             one[np.unique(group, return_index=True)[1]] = True
@@ -176,7 +202,7 @@ def meetings(docs: DataFrame, frequent) -> DataFrame:
             keys = np.frombuffer(data, _KEYS)
             ids = pa.array(keys["doc_id"], mask=keys["known"] == 0)
             none = pa.nulls(len(keys), pa.int64())
-            return pa.table([none, pa.array(keys["group"]), none, ids, *[pa.array(keys[c]) for c in ("n", "s1", "s2")]], names=names)
+            return pa.table([none, pa.array(keys["group"]), none, ids, *[pa.array(keys[c]) for c in ("n", "s1", "s2", *SKETCH)]], names=names)
         pairs = np.frombuffer(data, _PAIR)
         shingle, group = ((pairs[c].astype(np.uint64) << np.uint64(16)) | pairs[f"{c}_low"] for c in ("shingle", "group"))
         at = pairs["at"]
@@ -187,9 +213,9 @@ def meetings(docs: DataFrame, frequent) -> DataFrame:
             several = np.append(same, False) | np.append(False, same) if len(shingle) else np.zeros(0, bool)
             shingle, group, at = shingle[several], group[several], at[several]
         none = pa.nulls(len(shingle), pa.int64())
-        return pa.table([_signed(shingle), _signed(group), pa.array(at.astype(np.int64)), none, none, none, none], names=names)
+        return pa.table([_signed(shingle), _signed(group), pa.array(at.astype(np.int64)), *[none] * (4 + len(SKETCH))], names=names)
 
-    names = ["shingle", "group", "at", "doc_id", "n", "s1", "s2"]
+    names = ["shingle", "group", "at", "doc_id", "n", "s1", "s2", *SKETCH]
     return docs.mapInArrow(deal, "bucket long, pairs binary").groupBy("bucket").applyInArrow(
         meet, ", ".join(f"{c} long" for c in names))
 
@@ -213,11 +239,12 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, lists: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``, distinct) whose whole sets link, as a written table.
 
-    First the size filter and the prefix filter: what two linked sets share beyond the shingles that both prefixes hold
+    First the sketches, the size filter and the prefix filter: what two linked sets share beyond the shingles that both prefixes hold
     lies behind the prefix of one of them. Only documents of the pairs left are read again.
     """
-    side = [lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("entries.shingle").alias(f"t{x}")) for x in "ab"]
-    counted = pairs.join(side[0], "a").join(side[1], "b").where((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
+    side = [lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("entries.shingle").alias(f"t{x}"),
+                          *[F.col(c).alias(x + c) for c in SKETCH]) for x in "ab"]
+    counted = pairs.join(side[0], "a").join(side[1], "b").where(_sketch_allows("a", "b", "na", "nb") & (4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
     beyond = F.ceil(F.greatest("na", "nb") * 0.75) - 1
     could = write_table(counted.where(7 * (F.size(F.array_intersect("ta", "tb")) + beyond) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
     wanted = write_table(could.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -274,8 +301,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that links lead to)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = write_table(meetings(docs, frequent_shingles(docs)))
-    rows = met.where("shingle IS NULL").select("doc_id", "n", "s1", "s2", "group")
-    nodes = write_table(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n", "group").agg(F.min("doc_id").alias("node")))
+    rows = met.where("shingle IS NULL").select("doc_id", "n", "s1", "s2", "group", *SKETCH)
+    nodes = write_table(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n", "group").agg(
+        F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in SKETCH]))
+    # An id with several texts has several sets, hence no sketch.
+    sketches = nodes.groupBy("node").agg(*[F.when(F.count(F.lit(1)) == 1, F.min(c)).alias(c) for c in SKETCH])
     # Groups are expanded to their members; a group of several different sets is a bucket of its own besides.
     members = met.where("shingle IS NOT NULL").groupBy("shingle", "group").agg(F.min("at").alias("at")).join(nodes, "group").select(
         "shingle", "node", "n", "at")
@@ -284,7 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = write_table(members)
     sizes = buckets.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     lists = write_table(buckets.join(sizes, "shingle").groupBy("node").agg(
-        F.max("n").alias("n"), F.collect_list(F.struct("shingle", "at")).alias("entries"), (F.sum("k") / F.max("n")).alias("score")))
+        F.max("n").alias("n"), F.collect_list(F.struct("shingle", "at")).alias("entries"), (F.sum("k") / F.max("n")).alias("score")).join(sketches, "node"))
     # Round 1: the centre is the member whose shingles are the most common, which the base of a family of copies is.
     spread = lists.select("node", "n", "score", F.explode("entries").alias("e")).select("node", "n", "score", "e.*")
     best = spread.groupBy("shingle").agg(F.max(F.struct("score", (-F.col("node")).alias("c"), F.col("n").alias("n"), F.col("at").alias("at"))).alias("m"))
@@ -310,10 +340,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = open_buckets(found)
     largest = left.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(
         F.max(F.struct("k", "component"))["component"].alias("main"))
-    here = left.join(largest, "shingle").withColumn("stray", F.col("component") != F.col("main"))
+    here = left.join(largest, "shingle").withColumn("stray", F.col("component") != F.col("main")).join(lists.select("node", *SKETCH), "node")
     one, two = here.where("stray").alias("l"), here.alias("r")
     cross = one.join(two, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") != F.col("r.component"))
-                     & _can_link("l.n", "l.at", "r.n", "r.at") & (~F.col("r.stray") | (F.col("l.node") < F.col("r.node"))))
+                     & _can_link("l.n", "l.at", "r.n", "r.at") & _sketch_allows("l.", "r.", "l.n", "r.n") & (~F.col("r.stray") | (F.col("l.node") < F.col("r.node"))))
     pairs = cross.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     found = components(_edges(found).unionByName(_linked(pairs, lists, docs)))
     homes = nodes.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("home"))
