@@ -83,3 +83,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
         del batch, size
         # Workers are reused for hours; what a large batch took goes back at once.
         pa.default_memory_pool().release_unused()
+
+
+def sound_vector(vector: Column) -> Column:
+    """Is the vector there, without null or non-finite components?"""
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+
+
+def padded(lists: pa.ListArray, width: int, kind) -> np.ndarray:
+    """The lists as rows of a matrix, filled up with zeros to ``width``; they hold no nulls."""
+    ends = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]] if len(lists) else np.empty(0)
+    n = np.diff(ends)
+    if (n == width).all():
+        return values.reshape(len(lists), width).astype(kind)
+    out = np.zeros((len(lists), width), kind)
+    out[np.arange(width) < n[:, None]] = values
+    return out

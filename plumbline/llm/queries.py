@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plumbline.llm import (exact_dedup, html_text, language_id, mixing, near_dup, packing, quality_classifier, quality_rules,
-                           url_filter, warc)
+from plumbline.llm import (divergence, exact_dedup, exact_topk, html_text, language_id, mixing, near_dup, packing, quality_classifier,
+                           quality_rules, url_filter, vector_codes, warc)
 
 # Learned models, token ids and near-copy search over whole tables are beyond SQL; tests compare those with brute force.
 QUERIES = {
@@ -17,4 +17,7 @@ QUERIES = {
     "op8_quality_classifier": (quality_classifier.op8, None),
     "op9_mixing_sources": (mixing.op9, None),
     "op10_language_id": (language_id.op10, None),
+    "op11_vector_codes": (vector_codes.op11, vector_codes.SQL),
+    "op12_exact_topk": (exact_topk.op12, exact_topk.SQL),
+    "op13_source_divergence": (divergence.op13, divergence.SQL),
 }

@@ -19,9 +19,22 @@ def _write(folder, name, columns, rows):
 
 DOCS = [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]
 PAGES = [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]
+VECTORS = [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int64())]
 LABELS = [("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())]
 
 
+def odd_vectors() -> list[tuple]:
+    """Null and damaged vectors, equal ones, zeros, null labels; ids in no order."""
+    rng = random.Random(6)
+    rows = [[rng.gauss(0, 0.2) for _ in range(16)] for _ in range(60)]
+    rows += [rows[0], rows[0], [0.0] * 16, [1.0 / 64] * 16, [-1.0 / 64] * 16, rows[3], None, [None] + rows[1][1:], [float("nan")] + rows[1][1:],
+             rows[1][1:] + [float("inf")], [1000.0] * 16]
+    rows += [[x + rng.choice([0, 0.001]) for x in rows[5]] for _ in range(30)]
+    ids = list(range(-10, len(rows) - 10))
+    rng.shuffle(ids)
+    return [(i, r, None if i % 4 == 0 else i % 3) for i, r in zip(ids, rows)]
+
+
 def odd_documents() -> list[tuple]:
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
@@ -51,12 +64,13 @@ def odd(tmp_path_factory):
             page % ("long " * 40_000), page % "WARC/1.1\r\nWARC-Type: response\r\n\r\n", page % "It rained for most of the day &amp; nobody in the town minded it much."]
     urls = [None, "no scheme", "http://EXAMPLE.org/es/x?y", "https://a.example.org/en/12#f", "http://x.com/fr/", "http://x.com/de/a/b", "http://poker.net", "://\n/"]
     _write(folder, "pages", PAGES, [(i, urls[i], html[i]) for i in range(8)])
+    _write(folder, "embeddings", VECTORS, odd_vectors())
     return str(folder)
 
 
 @pytest.fixture(scope="session")
 def empty(tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name, columns in (("documents", DOCS), ("pages", PAGES), ("labels", LABELS)):
+    for name, columns in (("documents", DOCS), ("pages", PAGES), ("labels", LABELS), ("embeddings", VECTORS)):
         _write(folder, name, columns, [])
     return str(folder)

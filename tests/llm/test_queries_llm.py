@@ -43,7 +43,7 @@ def test_against_sql_small(spark, name):
 def test_against_sql_odd(spark, odd, name):
     query, sql = QUERIES[name]
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{odd}/{t}.parquet'")
     assert differences(query(spark, odd), con, sql) is None
 
