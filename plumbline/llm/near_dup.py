@@ -17,7 +17,8 @@ Steps, each over all rows:
    square. Pairs are filtered by size and by the shingles that their prefixes share, then verified on whole sets; links
    give components; a second round uses other centres.
 4. The rest. Where a shingle still joins sets of different components, those outside the largest component meet the
-   others, filtered and verified alike.
+   others, filtered and verified alike. The members of a shingle meet in blocks of a bounded size, many blocks to a task,
+   and a pair that shares many shingles leaves a task once.
 
 Every set also has a parity sketch of 512 bits: bit i is the parity of its shingles that hash to i. The bits in which two
 sketches differ are at most the shingles in which the sets differ, and linked sets differ in a seventh of their added sizes
@@ -40,7 +41,10 @@ from plumbline.llm.common import Words, mix64, slices, table
 WORDS = 5
 FREQUENT = 4            # a shingle seen so often (in tasks that see it twice) may enter the list
 BATCH_BYTES = 2 << 20    # of text that a task works on at once
-LIST_SIZE = 1 << 17      # and at most so many do: 1 MB of hashes, sent to every task
+LIST_SIZE = 1 << 20      # and at most so many do: 12 MB of hashes and ranks, sent to every task
+BUCKET_BYTES = 8 << 20   # of packed pairs that meet in one group, about
+BLOCK_MEMBERS = 512      # of a shingle's members that meet each other in one block
+BLOCK_ROWS = 1 << 17     # rows of blocks that one task works on, about
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -121,24 +125,40 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, rank by frequency) of the list."""
+def frequent_shingles(docs: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """((sorted hashes, rank by frequency) of the list, number of shingles of all sets together)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.empty(0, np.uint64), np.empty(0, np.int64)
+        total = 0
         for batch in slices(batches, "text", BATCH_BYTES):
             values = np.sort(shingle_sets(batch.column("text"))[0])
+            total += len(values)
             first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
             n = np.diff(np.append(first, len(values)))
             twice = n > 1
             values, at = np.unique(np.concatenate([kept[0], values[first[twice]]]), return_inverse=True)
             kept = values, np.bincount(at, np.concatenate([kept[1], n[twice]]), len(values)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([_signed(kept[0]), pa.array(kept[1], pa.int64())], names=["shingle", "n"])
-
-    top = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(
-        F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(LIST_SIZE).toArrow()
-    values = np.ascontiguousarray(top.column("shingle").to_numpy(), np.int64).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["shingle", "n"])
+
+    counts = write_table(docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(
+        F.col("shingle").isNull() | (F.col("n") >= FREQUENT)))
+    total = counts.where("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
+    # The least frequency that keeps the list within its size; frequencies beyond a bound count as one.
+    top = 1 << 16
+    sizes = dict(counts.where("shingle IS NOT NULL").groupBy(F.least("n", F.lit(top)).alias("n")).count().collect())
+    least, room = top, LIST_SIZE
+    for n in sorted(sizes, reverse=True):
+        room -= sizes[n]
+        if room < 0:
+            break
+        least = n
+    listed = counts.where("shingle IS NOT NULL").where(F.col("n") >= least).limit(LIST_SIZE).toArrow()
+    values = np.ascontiguousarray(listed.column("shingle").to_numpy(), np.int64).view(np.uint64)
     order = np.argsort(values)
-    return values[order], (len(values) - 1 - order).astype(np.int64)
+    rank = np.empty(len(values), np.int32)
+    rank[np.lexsort((values[order], listed.column("n").to_numpy()[order]))] = np.arange(len(values), dtype=np.int32)
+    return (values[order], rank), total
 
 
 # A shingle and a group travel as the upper 48 bits of their hashes: at most a few more candidates come of it, since pairs
@@ -146,17 +166,18 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 _PAIR = np.dtype([("shingle", "<u4"), ("shingle_low", "<u2"), ("group", "<u4"), ("group_low", "<u2"), ("at", "<u2")])
 SKETCH = [f"x{i}" for i in range(8)]    # columns of the sketch, 64 bits each
 _KEYS = np.dtype([(c, "<i8") for c in ("doc_id", "known", "n", "s1", "s2", "group", *SKETCH)])
-DOCUMENTS, LISTED = 1 << 40, 1 << 20    # bucket numbers of document rows, and of listed shingles, start here
+DOCUMENTS, LISTED = 1 << 60, 1 << 40    # bucket numbers of document rows, and of listed shingles, start here
 
 
-def meetings(docs: DataFrame, frequent) -> DataFrame:
+def meetings(docs: DataFrame, frequent, total: int) -> DataFrame:
     """One pass over the texts that gives two kinds of rows.
 
     With ``shingle``: (``shingle``, ``group``, ``at``) for prefix shingles that more than one group has (or that are listed).
     Without: a document's ``doc_id``, ``n`` (set size), ``s1``, ``s2`` (128-bit key of its set), its sketch and ``group``
     (key of its prefix and size). Both are packed into one binary value per bucket and batch, which keeps the shuffle small.
     """
-    buckets = min(4096, max(32, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # A quarter of all shingles is in prefixes.
+    buckets = max(32, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 4 * _PAIR.itemsize // BUCKET_BYTES)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
@@ -184,16 +205,16 @@ def meetings(docs: DataFrame, frequent) -> DataFrame:
             pairs["shingle"], pairs["shingle_low"] = shingle >> np.uint64(16), shingle & np.uint64(0xFFFF)
             pairs["group"], pairs["group_low"] = own >> np.uint64(16), own & np.uint64(0xFFFF)
             pairs["at"] = place * 65536 // np.repeat(n, q)
-            where = (mix64(shingle) % np.uint64(buckets)).astype(np.int16)
+            where = (mix64(shingle) % np.uint64(buckets)).astype(np.int64)
             hot = hit[inside]
-            where[hot] = -1 - (mix64(own[hot]) % np.uint64(buckets)).astype(np.int16)
+            where[hot] = LISTED + (mix64(own[hot]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             pairs, where = pairs[order], where[order]
             cuts = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(where)) if len(where) else np.zeros(1, int)
-            names = where[cuts[:-1]].astype(np.int64)
+            names = where[cuts[:-1]]
             parts = [pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             spread = int(mix64(np.array([len(n) + int(keys["s1"].sum())], np.int64).view(np.uint64))[0] % np.uint64(buckets))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.where(names < 0, LISTED - names, names), DOCUMENTS + spread)),
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(names, DOCUMENTS + spread)),
                                               pa.array([*parts, keys.tobytes()], pa.binary())], names=["bucket", "pairs"])
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
@@ -240,20 +261,75 @@ def _linked(pairs: DataFrame, lists: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``, distinct) whose whole sets link, as a written table.
 
     First the sketches, the size filter and the prefix filter: what two linked sets share beyond the shingles that both prefixes hold
-    lies behind the prefix of one of them. Only documents of the pairs left are read again.
+    lies behind the prefix of one of them. Sets of one group share the whole prefix. An id with several sets (null ``n``) passes.
+    Only documents of the pairs left are read again.
     """
-    side = [lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("entries.shingle").alias(f"t{x}"),
+    side = [lists.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("entries.shingle").alias(f"t{x}"), F.col("group").alias(f"g{x}"),
                           *[F.col(c).alias(x + c) for c in SKETCH]) for x in "ab"]
-    counted = pairs.join(side[0], "a").join(side[1], "b").where(_sketch_allows("a", "b", "na", "nb") & (4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
+    sizes = F.coalesce((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")), F.lit(True))
+    counted = pairs.join(side[0], "a").join(side[1], "b").where(_sketch_allows("a", "b", "na", "nb") & sizes)
     beyond = F.ceil(F.greatest("na", "nb") * 0.75) - 1
-    could = write_table(counted.where(7 * (F.size(F.array_intersect("ta", "tb")) + beyond) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
+    shared = F.when(F.col("ga") == F.col("gb"), F.col("na") - F.ceil(F.col("na") * 0.75) + 1).otherwise(F.size(F.array_intersect("ta", "tb")))
+    could = write_table(counted.where(F.coalesce(7 * (shared + beyond) >= 3 * (F.col("na") + F.col("nb")), F.lit(True))).select("a", "b"))
     wanted = write_table(could.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = write_table(_sets(docs, wanted))
     one = could.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
     return write_table(two.select("a", "b", both.alias("k"), (F.size("ha") + F.size("hb")).alias("sum")).where(
-        100 * F.col("k") >= 75 * (F.col("sum") - F.col("k"))).select("a", "b"))
+        100 * F.col("k") >= 75 * (F.col("sum") - F.col("k"))).select("a", "b").distinct())
+
+
+def _block_pairs(_: tuple, rows: pa.Table) -> pa.Table:
+    """Pairs (``a`` < ``b``) of different components that may link, of the blocks in ``rows``; each pair once."""
+    block, node, n, at, component, stray = (rows.column(c).to_numpy() for c in ("block", "node", "n", "at", "component", "stray"))
+    order = np.argsort(block, kind="stable")
+    block, node, n, at, component, stray = (x[order] for x in (block, node, n, at, component, stray.astype(bool)))
+    fresh = np.append(True, block[1:] != block[:-1])
+    end = np.append(np.flatnonzero(fresh)[1:], len(block))[np.cumsum(fresh) - 1]
+    found, held, left, step = [], 0, np.arange(len(block)), 1
+    rest = n - at * n // 65536
+    while len(left := left[left + step < end[left]]):
+        other = left + step
+        need = 3 * (n[left] + n[other])
+        ok = ((component[left] != component[other]) & (stray[left] | stray[other]) & (4 * n[left] >= 3 * n[other]) & (4 * n[other] >= 3 * n[left])
+              & (7 * rest[left] >= need) & (7 * rest[other] >= need))
+        a, b = node[left[ok]], node[other[ok]]
+        found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        held += len(a)
+        if held > BLOCK_ROWS * 8:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = 0
+        step += 1
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0]), pa.int64()), "b": pa.array(np.ascontiguousarray(pairs[:, 1]), pa.int64())})
+
+
+def _rest_pairs(left: DataFrame) -> DataFrame:
+    """Pairs of ``left`` (``shingle``, ``node``, ``n``, ``at``, ``component``) that share a shingle, lie in different components and may link.
+
+    Members outside a shingle's largest component (strays) meet all others. Both kinds are cut into parts of a bounded size
+    by hash; each part of strays meets each part of the others in one block, and each other part of strays in another.
+    """
+    by_home = write_table(left.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")))
+    homes = by_home.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("all")).select(
+        "shingle", F.col("m.component").alias("main"), F.ceil(F.col("m.k") / BLOCK_MEMBERS).alias("mains"),
+        F.ceil(2 * (F.col("all") - F.col("m.k")) / BLOCK_MEMBERS).alias("strays"))
+    here = left.join(homes, "shingle").withColumn("stray", F.col("component") != F.col("main"))
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains")))
+    def blocks(kind: int, i, j) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    def each(n: str, body) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), body)
+
+    own = F.col("part")
+    keys = F.when(F.col("stray"), F.concat(each("mains", lambda i: blocks(0, own, i)), each("strays", lambda i: blocks(1, F.least(own, i), F.greatest(own, i))))).otherwise(
+        each("strays", lambda i: blocks(0, i, own)))
+    dealt = here.withColumn("part", part).select("shingle", "node", "n", "at", "component", "stray", F.explode(keys).alias("key")).select(
+        F.xxhash64("shingle", "key.kind", "key.i", "key.j").alias("block"), "node", "n", "at", "component", "stray")
+    groups = max(1, left.count() // BLOCK_ROWS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.groupBy(F.pmod("block", F.lit(groups)).alias("task")).applyInArrow(_block_pairs, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,12 +376,14 @@ def _can_link(n: str, at: str, m: str, place: str) -> Column:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id that links lead to)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = write_table(meetings(docs, frequent_shingles(docs)))
+    met = write_table(meetings(docs, *frequent_shingles(docs)))
     rows = met.where("shingle IS NULL").select("doc_id", "n", "s1", "s2", "group", *SKETCH)
     nodes = write_table(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n", "group").agg(
         F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in SKETCH]))
-    # An id with several texts has several sets, hence no sketch.
-    sketches = nodes.groupBy("node").agg(*[F.when(F.count(F.lit(1)) == 1, F.min(c)).alias(c) for c in SKETCH])
+    # An id with several texts has several sets, hence neither a sketch nor a size of its own.
+    once = F.count(F.lit(1)) == 1
+    sketches = nodes.groupBy("node").agg(F.when(once, F.min("n")).alias("n"), F.when(once, F.min("group")).alias("group"), *[
+        F.when(once, F.min(c)).alias(c) for c in SKETCH])
     # Groups are expanded to their members; a group of several different sets is a bucket of its own besides.
     members = met.where("shingle IS NOT NULL").groupBy("shingle", "group").agg(F.min("at").alias("at")).join(nodes, "group").select(
         "shingle", "node", "n", "at")
@@ -314,9 +392,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = write_table(members)
     sizes = buckets.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     lists = write_table(buckets.join(sizes, "shingle").groupBy("node").agg(
-        F.max("n").alias("n"), F.collect_list(F.struct("shingle", "at")).alias("entries"), (F.sum("k") / F.max("n")).alias("score")).join(sketches, "node"))
+        F.collect_list(F.struct("shingle", "at", F.col("n").alias("m"))).alias("entries"), (F.sum("k") / F.max("n")).alias("score")).join(sketches, "node"))
     # Round 1: the centre is the member whose shingles are the most common, which the base of a family of copies is.
-    spread = lists.select("node", "n", "score", F.explode("entries").alias("e")).select("node", "n", "score", "e.*")
+    spread = lists.select("node", "score", F.explode("entries").alias("e")).select("node", "score", "e.shingle", "e.at", F.col("e.m").alias("n"))
     best = spread.groupBy("shingle").agg(F.max(F.struct("score", (-F.col("node")).alias("c"), F.col("n").alias("n"), F.col("at").alias("at"))).alias("m"))
     pairs = spread.join(best, "shingle").where(_can_link("n", "at", "m.n", "m.at")).select(
         F.col("node").alias("a"), (-F.col("m.c")).alias("b")).where("a <> b").distinct()
@@ -324,8 +402,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def open_buckets(known: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components."""
-        home = lists.join(known, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.explode("entries").alias("e"))
-        here = write_table(home.select("node", "n", "component", "e.*"))
+        home = lists.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.explode("entries").alias("e"))
+        here = write_table(home.select("node", "component", "e.shingle", "e.at", F.col("e.m").alias("n")))
         several = here.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
         return write_table(here.join(several.select("shingle"), "shingle"))
 
@@ -337,15 +415,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("node").alias("a"), F.col("m.c").alias("b")).distinct()
     found = components(_edges(found).unionByName(_linked(pairs, lists, docs)))
     # The rest: whoever is outside the largest component of a bucket meets the other components there.
-    left = open_buckets(found)
-    largest = left.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(
-        F.max(F.struct("k", "component"))["component"].alias("main"))
-    here = left.join(largest, "shingle").withColumn("stray", F.col("component") != F.col("main")).join(lists.select("node", *SKETCH), "node")
-    one, two = here.where("stray").alias("l"), here.alias("r")
-    cross = one.join(two, (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.component") != F.col("r.component"))
-                     & _can_link("l.n", "l.at", "r.n", "r.at") & _sketch_allows("l.", "r.", "l.n", "r.n") & (~F.col("r.stray") | (F.col("l.node") < F.col("r.node"))))
-    pairs = cross.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    found = components(_edges(found).unionByName(_linked(pairs, lists, docs)))
+    found = components(_edges(found).unionByName(_linked(_rest_pairs(open_buckets(found)), lists, docs)))
     homes = nodes.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("home"))
     full = rows.where("n > 0 AND doc_id IS NOT NULL").join(homes, ["s1", "s2", "n"]).select("doc_id", "n", "home")
     rest = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("home"))
@@ -358,8 +428,9 @@ def _edges(found: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; rows without id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct().alias("gone")
+    rows = docs.alias("docs")
+    return rows.join(gone, F.col("docs.doc_id") == F.col("gone.id"), "left_anti").select("docs.*")
 
 
 def op6(spark, folder):
