@@ -93,59 +93,89 @@ def cut(docs: DataFrame, length: int = LENGTH, with_ids: bool = True, tokenizer:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(pieces, schema)
 
 
-def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (piece lengths, how often): a bounded list, since only counts per length matter.
+class SumIndex:
+    """How many pieces of each length are left, and which sums up to ``length`` one, two or three of them make.
 
-    From the longest length down, the gap it leaves is filled exactly where one, two or three shorter lengths add up to
-    it and are still there; the sums of pairs are indexed by a bit set of the lengths at hand. What fits nothing exactly
-    takes the longest piece that fits (best fit), and the smaller gap is looked up anew.
+    ``pairs[s]`` counts the pairs of lengths at hand that add up to s; it is kept up to date as lengths run out. A triple with
+    the sum s exists where, for some length a, a pair adds up to s - a.
     """
-    left = np.zeros(length + 1, np.int64)
-    for size, n in counts.items():
-        left[size] += n
-    out: list[tuple[tuple[int, ...], int]] = []
-    sizes = np.arange(length + 1)
 
-    def exact(gap: int) -> tuple[int, ...] | None:
-        if left[gap]:
+    def __init__(self, counts: dict[int, int], length: int) -> None:
+        self.length = length
+        self.left = np.zeros(length + 1, np.int64)
+        for size, n in counts.items():
+            self.left[size] += n
+        self.left[0] = 0
+        self.pairs = np.zeros(length + 1, np.int64)
+        there = np.flatnonzero(self.left)
+        for i, a in enumerate(there):
+            sums = a + there[i + (self.left[a] < 2):]
+            self.pairs[sums[sums <= length]] += 1
+
+    def take(self, size: int, n: int = 1) -> None:
+        before, after = self.left[size], self.left[size] - n
+        if before >= 2 > after and 2 * size <= self.length:
+            self.pairs[2 * size] -= 1
+        self.left[size] = after
+        if not after:
+            sums = size + np.flatnonzero(self.left)
+            self.pairs[sums[sums <= self.length]] -= 1
+
+    def _pair(self, left: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
+        """Two lengths of ``left`` that add up to ``total``, the larger as large as can be but at most ``most``."""
+        a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
+        ok = a[(left[a] > 0) & (left[total - a] > (2 * a == total))]
+        return (int(ok[0]), total - int(ok[0])) if len(ok) else None
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths at hand that fill ``gap`` exactly; None only if there are none."""
+        if self.left[gap]:
             return (gap,)
-        there = sizes[(left > 0) & (sizes > 0) & (sizes < gap)][::-1]
-        if not len(there):
-            return None
-        need = gap - there
-        pairs = there[(need <= there) & (left[need] >= 1 + (need == there))]
-        if len(pairs):
-            return (int(pairs[0]), int(gap - pairs[0]))
-        for a in there[: 64]:
-            rest = gap - int(a)
-            left[a] -= 1
-            b = sizes[(left > 0) & (sizes > 0) & (sizes <= min(int(a), rest - 1))][::-1]
-            c = rest - b
-            ok = b[(c <= b) & (left[c] >= 1 + (c == b))] if len(b) else b
-            left[a] += 1
-            if len(ok):
-                return (int(a), int(ok[0]), rest - int(ok[0]))
+        if self.pairs[gap] and (found := self._pair(self.left, gap, gap)):
+            return found
+        a = np.arange(gap - 2, 0, -1)
+        for first in a[(self.left[a] > 0) & (self.pairs[gap - a] > 0)].tolist():
+            self.left[first] -= 1
+            found = self._pair(self.left, gap - first, first)
+            self.left[first] += 1
+            if found:
+                return (first, *found)
         return None
 
+    def longest(self, most: int) -> int | None:
+        fits = np.flatnonzero(self.left[:most + 1])
+        return int(fits[-1]) if len(fits) else None
+
+
+def plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (piece lengths, how often): a bounded list, since each uses up some length.
+
+    From the longest length down, the gap it leaves is filled exactly where one, two or three lengths at hand add up to it.
+    What fits nothing exactly takes the longest piece that fits (best fit), and the smaller gap is looked up anew.
+    """
+    index = SumIndex(counts, length)
+    out: list[tuple[tuple[int, ...], int]] = []
     for size in range(length, 0, -1):
-        while left[size]:
-            left[size] -= 1
+        while index.left[size]:
+            index.take(size)
             pattern, gap = [size], length - size
             while gap:
-                fill = exact(gap)
+                fill = index.exact(gap)
                 if fill is None:
-                    fits = np.flatnonzero(left[1:gap + 1])
-                    if not len(fits):
+                    best = index.longest(gap)
+                    if best is None:
                         break
-                    fill = (int(fits[-1]) + 1,)
+                    fill = (best,)
                 for s in fill:
-                    left[s] -= 1
+                    index.take(s)
                     pattern.append(s)
                     gap -= s
             # The same sequence again as often as every length in it lasts.
             need = np.bincount(pattern, minlength=length + 1)
-            more = int((left[need > 0] // need[need > 0]).min())
-            left -= more * need
+            more = int((index.left[need > 0] // need[need > 0]).min())
+            if more:
+                for s in np.flatnonzero(need).tolist():
+                    index.take(s, more * int(need[s]))
             out.append((tuple(pattern), 1 + more))
     return out
 
