@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -15,6 +17,7 @@ from oracle import connect, differences
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from plumbline.llm import html_text, near_dup, packing
 from plumbline.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -104,6 +107,36 @@ def test_html_odd_pages(spark, odd):
     assert got[5] == "A title\n" + " ".join(["long"] * 40_000)
 
 
+LONG = "It rained for most of the day and nobody in the town minded it much, since the summer had been dry and the wells were low."
+MENU = "<div><a href='/'>Home</a> | <a href='/news'>News</a> | <a href='/about'>About us</a></div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    # Names of states and of the page's own elements say nothing of the text inside.
+    (f"<body class='has-sidebar'><nav>{MENU}</nav><article><h1>Rain</h1><p>{LONG}</p></article><div class='sidebar'><p>{LONG}</p></div></body>", f"Rain\n{LONG}"),
+    (f"<article class='article share-enabled'><h1>Rain</h1><p>{LONG}</p><div class='share'>Tell your friends</div></article>", f"Rain\n{LONG}"),
+    (f"<body class='sidebar ad'><form><main class='with-comments'><p>{LONG}</p></main></form></body>", LONG),
+    # The nearest mark counts, but nothing inside sure furniture is content.
+    (f"<div class='page-share'><div class='content'><p>{LONG}</p><p>So it was.</p></div></div>", f"{LONG}\nSo it was."),
+    (f"<article><p>{LONG}</p><section class='comments'><article class='comment'><div class='content'><p>{LONG}</p></div></article></section></article>", LONG),
+    (f"<div class='content'><header><h1>Rain</h1></header><div class='entry-meta share-links'>Tell</div><p>{LONG}</p><aside class='post'>{LONG}</aside></div>", f"Rain\n{LONG}"),
+    # No marks at all: length, links and neighbours.
+    (f"{MENU}<div>{LONG}</div><div>{LONG} {LONG}</div>{MENU}<div>All rights reserved</div>", f"{LONG}\n{LONG} {LONG}"),
+    (f"<div><div><div>{MENU}</div></div><div><div><div>{LONG}</div><div>It was short.</div><div><div>{LONG}</div></div></div></div><div>{MENU}</div></div>",
+     f"{LONG}\nIt was short.\n{LONG}"),
+    (f"{MENU}<div><a href='/x'>{LONG}</a></div><p>{LONG}</p><p>{LONG}</p><div><a href='/y'>{LONG}</a></div>{MENU}", f"{LONG}\n{LONG}")])
+def test_html_layouts(page, want):
+    assert html_text.main_text(page, html_text.grow(*html_text.labelled_table())) == want
+
+
+def test_html_tree_uses_all_features():
+    def used(tree):
+        return {html_text.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+    x, y = html_text.labelled_table()
+    tree = html_text.grow(x, y)
+    assert used(tree) == set(html_text.FEATURES) and (html_text.judge(tree, x) == y).mean() > 0.97
+
+
 # ---------------------------------------------------------------- op4
 
 @pytest.mark.parametrize("which", ["sf0.001", "odd"])
@@ -136,6 +169,67 @@ def test_packing_round_trip(spark, odd, which):
     assert len(seats) <= 1.03 * (-(-total // 2048)) + 1
 
 
+def sums_at_hand(counts, gap):
+    """Does any combination of one, two or three of the pieces fill the gap?"""
+    pieces = [s for s, n in counts.items() for _ in range(min(n, 3))]
+    return any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(pieces, k))
+
+
+def fewest(pieces, length):
+    """Fewest sequences, by trying all: each piece goes into an open sequence or a new one."""
+    best = len(pieces)
+
+    def go(i, open_):
+        nonlocal best
+        if len(open_) >= best:
+            return
+        if i == len(pieces):
+            best = len(open_)
+            return
+        for k in {open_.index(r) for r in open_ if r >= pieces[i]}:
+            go(i + 1, [*open_[:k], open_[k] - pieces[i], *open_[k + 1:]])
+        go(i + 1, [*open_, length - pieces[i]])
+    go(0, [])
+    return best
+
+
+def test_sum_index_finds_every_exact_fill():
+    rng = random.Random(4)
+    for _ in range(60):
+        counts = {rng.randint(1, 40): rng.randint(1, 3) for _ in range(rng.randint(1, 9))}
+        index = packing.SumIndex(counts, 60)
+        while any(counts.values()):
+            for gap in range(1, 61):
+                found = index.exact(gap)
+                assert (found is not None) == sums_at_hand(counts, gap)
+                if found:
+                    assert sum(found) == gap and all(found.count(s) <= counts[s] for s in found)
+            size = rng.choice([s for s, n in counts.items() if n])
+            index.take(size)
+            counts[size] -= 1
+
+
+def test_triple_behind_many_longer_lengths():
+    # 80 longer lengths stand before the one combination that fills the gap of 1047.
+    longer = {s: 1 for s in range(960, 1040) if s not in (1001, 1047 - 347, 1047 - 349, 1047 - 351)}
+    index = packing.SumIndex({**longer, 347: 1, 349: 1, 351: 1}, 2048)
+    assert sorted(index.exact(1047)) == [347, 349, 351]
+    assert (1001, 351, 349, 347) in [p for p, _ in packing.plan({1001: 1, 347: 1, 349: 1, 351: 1})]
+
+
+def test_plan_against_all_packings():
+    rng = random.Random(9)
+    worse = 0
+    for _ in range(80):
+        pieces = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 11))), reverse=True)
+        made = packing.plan(Counter(pieces), 20)
+        assert sorted((s for p, n in made for s in p * n), reverse=True) == pieces and all(sum(p) <= 20 for p, _ in made)
+        over = sum(n for _, n in made) - fewest(pieces, 20)
+        assert 0 <= over <= 1
+        worse += over
+    assert worse <= 8
+
+
 # ---------------------------------------------------------------- op6
 
 def components(rows):
@@ -168,6 +262,62 @@ def test_ngram_jaccard_join(spark, odd, which):
     assert got == components(docs_of(folder))
 
 
+NEAR = "doc_id long, text string, component string, node string, _gone string"
+
+
+def near_pairs(seed, count=400):
+    """Pairs of texts that differ in the first, any or the last word, or by words put in between; and pairs just too far apart."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(5000)]
+    out = []
+    for kind in ("first", "any", "last", "longer", "apart"):
+        for _ in range(count):
+            base = [rng.choice(words) for _ in range(rng.randint(40, 400))]
+            other = list(base)
+            if kind == "longer":
+                at = rng.randrange(len(other))
+                other[at:at] = [rng.choice(words) for _ in range(rng.randint(1, len(other) // 8))]
+            elif kind == "apart":
+                for at in rng.sample(range(len(other)), len(other) // 30):
+                    other[at] = rng.choice(words)
+            else:
+                other[{"first": 0, "any": rng.randrange(len(other)), "last": -1}[kind]] = rng.choice(words)
+            out += [" ".join(base), " ".join(other)]
+    # A passage that many texts share without being near copies, and a family of drifting copies.
+    passage = [rng.choice(words) for _ in range(60)]
+    out += [" ".join([rng.choice(words) for _ in range(60)] + passage + [rng.choice(words) for _ in range(rng.randint(20, 90))]) for _ in range(300)]
+    drift = [rng.choice(words) for _ in range(300)]
+    for _ in range(60):
+        for at in rng.sample(range(300), 8):
+            drift[at] = rng.choice(words)
+        out.append(" ".join(drift))
+    return out
+
+
+@pytest.mark.parametrize("spread", ["one batch", "over tasks"])
+def test_no_link_is_lost(spark, spread, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 16)
+    rows = list(enumerate(near_pairs(7)))
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], NEAR)
+    df = df.coalesce(1) if spread == "one batch" else df.repartition(13, "doc_id")
+    if spread == "one batch":
+        monkeypatch.setattr(near_dup, "BATCH_BYTES", 1 << 28)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    assert got == components(rows)
+    kept = near_dup.drop_near_duplicates(df).collect()
+    assert {r.doc_id for r in kept} == {i for i, (_, c) in got.items() if i == c} and kept[0]._gone == "z"
+
+
+def test_near_duplicates_with_equal_and_null_ids(spark):
+    base = [" ".join(f"w{i}x{k}" for i in range(60)) for k in range(4)]
+    near = base[1].replace("w0x1", "other")
+    rows = [(1, base[0]), (1, base[1]), (2, near), (3, base[0]), (None, base[0]), (None, None), (4, base[2]), (4, base[2]), (5, base[3]), (0, None)]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], NEAR)
+    got = sorted(((r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()), key=str)
+    # Both texts of id 1 tie their copies together.
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, None), (None, None), (4, 4), (4, 4), (5, 5), (0, 0)], key=str)
+
+
 # ---------------------------------------------------------------- op8, op10
 
 def test_quality_classifier_held_out(spark):
