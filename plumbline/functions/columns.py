@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.date_text import date_of
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -56,16 +58,16 @@ def to_number(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def to_moment(df: DataFrame, name: str, formats: Iterable[str] = ()) -> Column:
-    """Value as timestamp; text that is no date becomes NULL."""
+def to_moment(df: DataFrame, name: str, formats: Iterable[str] = (), day_first: bool = False) -> Column:
+    """Value as timestamp; text that is no date becomes NULL. ``formats`` are tried first."""
     kind = type_of(df, name)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return q(name)
     if isinstance(kind, T.DateType):
         return q(name).cast("timestamp_ntz")
     text = q(name).cast("string")
-    tries = [F.expr(f"try_to_timestamp(`{name}`, '{f}')") for f in formats]
-    tries.append(text.try_cast("timestamp_ntz"))
+    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+    tries += [date_of(text, day_first), text.try_cast("timestamp_ntz")]
     return F.coalesce(*[t.cast("timestamp_ntz") for t in tries])
 
 

@@ -72,8 +72,8 @@ def _delta_counts(runs: DateRuns) -> DataFrame:
         *runs.keys, "whole_days", "delta_days").agg(F.sum("n").alias("n"))
 
 
-def frequency(runs: DateRuns, expected: str | None = None) -> DataFrame:
-    """One row per key: most common and median delta, regularity, match with an expected frequency."""
+def frequency(runs: DateRuns, expected: str | DataFrame | None = None) -> DataFrame:
+    """One row per key: most common and median delta, regularity, match with an expected frequency (of every key)."""
     hist = delta_histogram(runs)
     by = W.partitionBy(*runs.keys)
     upto = by.orderBy("delta_days").rowsBetween(W.unboundedPreceding, 0)
@@ -89,10 +89,12 @@ def frequency(runs: DateRuns, expected: str | None = None) -> DataFrame:
         F.sum("n").alias("n_steps"))
     out = out.withColumn("is_regular", F.col("n_deltas") == 1)
     match = F.lit(None).cast("boolean")
-    if expected:
-        grid = cal.parse_frequency(expected)
-        if grid.unit == "fixed" and grid.weekday < 0:
-            match = F.col("most_common") * DAY == grid.step
+    if isinstance(expected, DataFrame):
+        out = out.join(expected.select(*runs.keys, F.col("freq").alias("_freq")), runs.keys, "left")
+        grid = cal.grid_of(F.col("_freq"))
+        match = F.when(~grid.months & (grid.weekday < 0), F.col("most_common") * DAY == grid.step)
+    elif expected and cal.is_plain_step(expected):
+        match = F.col("most_common") * DAY == cal.grid_of(expected).step
     out = out.withColumn("expected_match", match)
     everyone = runs.rows.groupBy(*runs.keys).agg(F.sum("copies").alias("n_observations"))
     out = everyone.join(out, runs.keys, "left").withColumn(
@@ -192,51 +194,70 @@ def _with_start(runs: DateRuns) -> DataFrame:
     return attach_by_chunk(runs.rows, ends, runs.keys)
 
 
-def _holes(runs: DateRuns, grid: cal.Grid) -> DataFrame:
+def _named(rows: DataFrame, freq: str | DataFrame, keys: list[str]) -> tuple[DataFrame, cal.Grid]:
+    """``rows`` with the columns that their grid needs; a table of frequencies (keys, ``freq``) gives each key its own."""
+    if isinstance(freq, str):
+        return rows, cal.grid_of(freq)
+    names = freq.select(*keys, F.col("freq").alias("_freq"))
+    rows = attach_by_chunk(rows, names, keys) if "chunk" in rows.columns else rows.join(names, keys, "left")
+    return rows, cal.grid_of(F.col("_freq"))
+
+
+def _holes(runs: DateRuns, freq: str | DataFrame) -> tuple[DataFrame, cal.Grid]:
     """Neighbouring dates with the numbers _lo.._hi of the grid points strictly between them."""
-    rows = _with_start(runs).where("prev IS NOT NULL")
+    rows, grid = _named(_with_start(runs).where("prev IS NOT NULL"), freq, runs.keys)
     rows = cal.with_grid(rows, grid, "_start")
     rows = cal.with_index(cal.with_index(rows, grid, "prev", "_from"), grid, "ts", "_to")
     return rows.withColumn("_lo", F.greatest(F.col("_from") + 1, F.lit(0))).withColumn(
-        "_hi", F.col("_to") - F.col("_to_hit").cast("int")).where("_hi >= _lo")
+        "_hi", F.col("_to") - F.col("_to_hit").cast("int")).where("_hi >= _lo"), grid
+
 
+def _grid_columns(df: DataFrame) -> list[str]:
+    return [c for c in ("_grid", "_tod", "_freq") if c in df.columns]
 
-def missing_dates(runs: DateRuns, freq: str) -> DataFrame:
+
+def missing_dates(runs: DateRuns, freq: str | DataFrame) -> DataFrame:
     """keys, missing_ts: grid points between first and last date that do not occur.
 
     Every missing point lies between two neighbouring dates, so each gap lists
-    its own points and no full grid is built or joined.
+    its own points and no full grid is built or joined. ``freq`` names one
+    frequency, or is a table of one per key (keys, ``freq``); keys without a
+    known frequency have no grid.
     """
-    grid = cal.parse_frequency(freq)
-    holes = _holes(runs, grid).select(*runs.keys, "_grid", "_tod", "_lo", "_hi")
-    points = explode_range(holes, F.col("_lo"), F.col("_hi"), "_k")
+    holes, grid = _holes(runs, freq)
+    points = explode_range(holes.select(*runs.keys, *_grid_columns(holes), "_lo", "_hi"), F.col("_lo"), F.col("_hi"), "_k")
     return runs.show(points, cal.grid_point(grid, F.col("_k")).alias("missing_ts"))
 
 
-def missing_date_counts(runs: DateRuns, freq: str) -> DataFrame:
-    """keys, start, end, frequency, missing_count, expected_length, actual_length (counted, not listed)."""
-    grid = cal.parse_frequency(freq)
+def missing_date_counts(runs: DateRuns, freq: str | DataFrame) -> DataFrame:
+    """keys, start, end, frequency, missing_count, expected_length, actual_length (counted, not listed).
+
+    ``freq`` as for :func:`missing_dates`; counts are null for keys without a known frequency.
+    """
     ends = runs.rows.groupBy(*runs.keys).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("actual_length"))
+    ends, grid = _named(ends, freq, runs.keys)
     ends = cal.with_index(cal.with_grid(ends, grid, "start"), grid, "end", "_k")
-    missing = _holes(runs, grid).groupBy(*runs.keys).agg(F.sum(F.col("_hi") - F.col("_lo") + 1).alias("m"))
+    missing = _holes(runs, freq)[0].groupBy(*runs.keys).agg(F.sum(F.col("_hi") - F.col("_lo") + 1).alias("m"))
     out = ends.join(missing, runs.keys, "left")
-    return runs.show(out, "start", "end", F.lit(freq).alias("frequency"),
-                     F.coalesce("m", F.lit(0)).cast("bigint").alias("missing_count"),
-                     F.greatest(F.col("_k") + 1, F.lit(0)).cast("bigint").alias("expected_length"),
+    known = grid.step.isNotNull()
+    return runs.show(out, "start", "end", (F.lit(freq) if isinstance(freq, str) else F.col("_freq")).alias("frequency"),
+                     F.when(known, F.coalesce("m", F.lit(0))).cast("bigint").alias("missing_count"),
+                     F.when(known, F.greatest(F.col("_k") + 1, F.lit(0))).cast("bigint").alias("expected_length"),
                      "actual_length")
 
 
 GAP_ACTIONS = ["ignore", "forward_fill", "interpolate", "drop"]
 
 
-def fill_gaps(df: DataFrame, date: str, value: str, freq: str, action: str = "forward_fill",
+def fill_gaps(df: DataFrame, date: str, value: str, freq: str | DataFrame, action: str = "forward_fill",
               keys: list[str] | None = None) -> DataFrame:
     """keys, ts, y, is_filled: the series with its missing grid points treated as asked.
 
     ``ignore`` lists the missing points without a value, ``drop`` leaves them
     out, ``forward_fill`` repeats the value before the gap and ``interpolate``
-    draws a straight line over time. On repeated dates the mean counts.
+    draws a straight line over time. On repeated dates the mean counts. ``freq``
+    as for :func:`missing_dates`.
     """
     if action not in GAP_ACTIONS:
         raise ValueError(f"unknown action: {action}")
@@ -250,15 +271,14 @@ def fill_gaps(df: DataFrame, date: str, value: str, freq: str, action: str = "fo
     actual = means.select(*keys, "ts", "y", F.lit(False).alias("is_filled"))
     if action == "drop":
         return actual
-    grid = cal.parse_frequency(freq)
     runs = DateRuns(write_table(ranked_runs(means.select(*inner, "ts"), inner, ["ts"])), inner, inner)
-    holes = _holes(runs, grid)
+    holes, grid = _holes(runs, freq)
     # Values at both ends of a hole: (key, date) is unique on both sides.
     ends = means.select(*inner, F.col("ts").alias("_at"), "y")
     holes = holes.join(ends.select(*inner, F.col("_at").alias("prev"), F.col("y").alias("_y0")),
                        [*inner, "prev"]).join(
         ends.select(*inner, F.col("_at").alias("ts"), F.col("y").alias("_y1")), [*inner, "ts"])
-    points = explode_range(holes.select(*inner, "prev", "ts", "_grid", "_tod", "_y0", "_y1", "_lo", "_hi"),
+    points = explode_range(holes.select(*inner, "prev", "ts", *_grid_columns(holes), "_y0", "_y1", "_lo", "_hi"),
                            F.col("_lo"), F.col("_hi"), "_k")
     points = points.withColumn("_g", cal.grid_point(grid, F.col("_k")))
     share = (micros(F.col("_g")) - micros(F.col("prev"))) / (micros(F.col("ts")) - micros(F.col("prev")))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import (MOMENTS, columns_of, nulls_for_nan, numeric_columns, q,
                                          to_number)
-from plumbline.functions.runs import quantiles, ranked_runs
+from plumbline.functions.quantiles import wide_quantiles
+from plumbline.functions.runs import ranked_runs
 from plumbline.functions.tables import lookup, write_table
 
 
@@ -80,17 +82,24 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         F.when(flat & (n >= 4), F.lit(0.0)).otherwise(kurt).alias("kurtosis"))
 
 
+def _small_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A row per column of the input, known on the driver."""
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def medians(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """column, median: exact at any size, from sorted runs."""
-    return quantiles(long_numbers(df, cols), ["column"], "value", {"median": 0.5})
+    """column, median: exact at any size, without moving rows."""
+    found = wide_quantiles(numbers(df, cols), {"median": 0.5})
+    return _small_table(df, [(c, v["median"]) for c, v in found.items()], "`column` string, median double")
 
 
 def iqr_fences(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> DataFrame:
     """column, q1, q3, lower, upper."""
-    spread = F.col("q3") - F.col("q1")
-    return quantiles(long_numbers(df, cols), ["column"], "value", {"q1": 0.25, "q3": 0.75}).select(
-        "column", "q1", "q3", (F.col("q1") - k * spread).alias("lower"),
-        (F.col("q3") + k * spread).alias("upper"))
+    rows = []
+    for c, v in wide_quantiles(numbers(df, cols), {"q1": 0.25, "q3": 0.75}).items():
+        spread = v["q3"] - v["q1"]
+        rows.append((c, v["q1"], v["q3"], v["q1"] - k * spread, v["q3"] + k * spread))
+    return _small_table(df, rows, "`column` string, q1 double, q3 double, lower double, upper double")
 
 
 def z_fences(df: DataFrame, cols: list[str] | None = None, k: float = 3.0) -> DataFrame:
@@ -98,46 +107,68 @@ def z_fences(df: DataFrame, cols: list[str] | None = None, k: float = 3.0) -> Da
     return _moments(numbers(df, cols)).select("column", "mean", "pop_std", F.lit(float(k)).alias("k"))
 
 
-def _is_outlier(method: str) -> Column:
+def _fences(df: DataFrame, cols: list[str] | None, method: str, k: float | None) -> DataFrame:
     if method == "iqr":
-        return (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
-    return F.abs((F.col("value") - F.col("mean")) / F.nullif("pop_std", F.lit(0.0))) > F.col("k")
+        return iqr_fences(df, cols, 1.5 if k is None else k)
+    if method == "zscore":
+        return z_fences(df, cols, 3.0 if k is None else k)
+    raise ValueError(f"unknown outlier method: {method}")
 
 
-def _fenced(df: DataFrame, cols: list[str] | None, method: str, k: float | None) -> tuple:
+def _distance(method: str, fence, x: Column) -> Column:
+    """How far a value is beyond its column's fence; null for values within."""
     if method == "iqr":
-        fences = iqr_fences(df, cols, 1.5 if k is None else k)
-    elif method == "zscore":
-        fences = z_fences(df, cols, 3.0 if k is None else k)
-    else:
-        raise ValueError(f"unknown outlier method: {method}")
-    return fences, long_numbers(df, cols)
+        return F.when(x < fence["lower"], fence["lower"] - x).when(x > fence["upper"], x - fence["upper"])
+    z = F.abs((x - fence["mean"]) / F.lit(fence["pop_std"] or None))
+    return F.when(z > fence["k"], z - fence["k"])
 
 
 def outliers(df: DataFrame, cols: list[str] | None = None, method: str = "iqr",
              k: float | None = None) -> DataFrame:
-    """Fences and the exact number of outliers per column.
-
-    The fence table has one row per column of the input, so it is broadcast.
-    """
-    fences, cells = _fenced(df, cols, method, k)
-    counts = cells.join(F.broadcast(fences), "column").groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(_is_outlier(method)).alias("n_outliers"))
+    """Fences and the exact number of outliers per column, counted on the wide rows in one pass."""
+    fences = _fences(df, cols, method, k)
+    known = {r["column"]: r for r in fences.collect()}
+    wide = numbers(df, cols)
+    names = [c for c in wide.columns if c in known]
+    one = wide.agg(F.count(F.lit(1)).alias("rows"), *[a for i, c in enumerate(names) for a in (
+        F.count(q(c)).alias(f"n{i}"), F.count(_distance(method, known[c], q(c))).alias(f"o{i}"))])
+    if not names:
+        return fences.withColumns({"n": F.lit(0).cast("long"), "n_outliers": F.lit(0).cast("long")})
+    counts = _long(one, [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"o{i}").alias("n_outliers"))
+                         for i, c in enumerate(names)]).where("n > 0")
     return fences.join(F.broadcast(counts), "column")
 
 
 def outlier_values(df: DataFrame, cols: list[str] | None = None, method: str = "iqr",
-                   k: float | None = None, limit: int = 500) -> DataFrame:
-    """column, value, rank: the ``limit`` most extreme outlying values of every column, by value."""
-    fences, cells = _fenced(df, cols, method, k)
-    fences = write_table(fences)
-    found = cells.join(F.broadcast(fences), "column").where(_is_outlier(method)).select("column", "value")
-    tops = [found.where(F.col("column") == c).orderBy("value").limit(limit)
-            for c in (cols or numeric_columns(df))]
-    out = tops[0]
-    for t in tops[1:]:
-        out = out.unionByName(t)
-    return out
+                   k: float | None = None, limit: int | None = None) -> DataFrame:
+    """column, value, distance, rank, n_outliers, sample_capped: the outliers of every column, the furthest out first.
+
+    ``distance`` is how far a value is beyond its fence, low or high, and ``rank`` counts the values further out, plus
+    one. Without ``limit`` all outliers come. With it, tasks pass on the ``limit`` furthest of each column only, the
+    smaller value first on ties; ``n_outliers`` still counts all, and ``sample_capped`` tells that some are left out.
+    """
+    counted = outliers(df, cols, method, k)
+    known = {r["column"]: r for r in counted.collect()}
+    wide = numbers(df, cols)
+    far = F.array(*[F.struct(F.lit(c).alias("column"), q(c).alias("value"), _distance(method, known[c], q(c)).alias("distance"))
+                    for c in wide.columns if c in known])
+    found = wide.select(F.explode(F.filter(far, lambda x: x["distance"].isNotNull())).alias("x")).select("x.*")
+    if limit is None:
+        # Ranks over sorted runs, so that no column meets in one task.
+        runs = ranked_runs(found.withColumn("nearness", -F.col("distance")), ["column"], ["nearness", "value"])
+        first = write_table(runs.select("column", "nearness", "value", "copies", "start"))
+        ties = ranked_runs(found.select("column", (-F.col("distance")).alias("nearness")), ["column"], ["nearness"]).select(
+            "column", "nearness", (F.col("start") + 1).alias("rank"))
+        out = first.join(ties, ["column", "nearness"]).select(
+            "column", "value", (-F.col("nearness")).alias("distance"), "rank", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    else:
+        order = W.partitionBy("column").orderBy(F.desc("distance"), "value")
+        out = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit).withColumn(
+            "rank", F.rank().over(W.partitionBy("column").orderBy(F.desc("distance"))).cast("long"))
+    sizes = counted.select("column", "n_outliers")
+    return out.join(F.broadcast(sizes), "column").select(
+        "column", "value", "distance", "rank", "n_outliers",
+        (F.col("n_outliers") > limit if limit is not None else F.lit(False)).alias("sample_capped"))
 
 
 def complete_cases(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -169,20 +200,33 @@ def correlation(df: DataFrame, cols: list[str] | None = None, method: str = "pea
     return _long(one, cells)
 
 
+# Rank tables of together at most so many rows (24 bytes each) are sent to every task; larger ones are joined by shuffle.
+SENT_RANKS = 1 << 20
+
+
 def _rank_rows(wide: DataFrame) -> DataFrame:
     """Replace every value by its average rank in its column.
 
-    Ranks come from the sorted distinct values and are looked up per cell; a
-    value held by very many rows is looked up by broadcast (see ``lookup``).
+    Ranks come from the sorted distinct values, which tasks count before anything is exchanged. Each column's table of
+    ranks is looked up on the wide rows: those with few distinct values are sent to the tasks, so that the rows stay where
+    they are; the rows are exchanged only for columns with very many distinct values, whose frequent ones are sent too.
     """
-    rows = write_table(wide.withColumn("_row", F.monotonically_increasing_id()))
-    cells = rows.unpivot(["_row"], wide.columns, "column", "value")
-    runs = ranked_runs(cells, ["column"], ["value"])
-    ranks = write_table(runs.select(
-        "column", "value", "copies", (F.col("start") + (F.col("copies") + 1) / 2.0).alias("rank")))
-    ranked = lookup(cells, ranks, ["column", "value"], "copies", ["rank"])
-    return ranked.groupBy("_row").agg(*[
-        F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in wide.columns]).drop("_row")
+    # Names of our own, which cannot clash with what is looked up.
+    names = [f"v{i}" for i in range(len(wide.columns))]
+    rows, room = wide.toDF(*names), SENT_RANKS
+    runs = ranked_runs(rows.unpivot([], names, "column", "value"), ["column"], ["value"])
+    ranks = write_table(runs.select("column", "value", "copies", (F.col("start") + (F.col("copies") + 1) / 2.0).alias("rank")))
+    # A row per column.
+    sizes = {r[0]: r[1] for r in ranks.groupBy("column").agg(F.count(F.lit(1))).collect()}
+    for c in sorted(names, key=lambda x: sizes.get(x, 0)):
+        own = ranks.where(F.col("column") == c).select(F.col("value").alias(c), "copies", "rank")
+        room -= sizes.get(c, 0)
+        if room >= 0:
+            rows = rows.join(F.broadcast(own.drop("copies")), c)
+        else:
+            rows = lookup(rows, own, [c], "copies", ["rank"])
+        rows = rows.select(*[x for x in rows.columns if x not in (c, "rank")], F.col("rank").alias(c))
+    return rows.select(*names).toDF(*wide.columns)
 
 
 def jarque_bera(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

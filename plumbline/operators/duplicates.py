@@ -1,14 +1,12 @@
 """Duplicate rows: exact copies, and near copies on the same date or entity and date.
 
-No pair of rows is ever formed. Rows are first collapsed to distinct rows with
-a copy count. Two distinct rows that may differ in at most ``m`` of the compared
-columns are equal once some choice of ``m`` columns is blanked out, so grouping
-by the key and the blanked row finds exactly the rows that have a partner.
+Rows are first collapsed to distinct rows with a copy count. Distinct rows that
+differ in a few of the compared columns are found in ``near_rows``, exactly and
+for any width.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import nulls_for_nan, q
 from plumbline.functions.tables import lookup, write_table
+from plumbline.operators.near_rows import near_rows
 
 # Names that mark a column as the date or the entity when none is given.
 DATE_WORDS = ["date", "time", "timestamp", "period"]
@@ -67,31 +66,14 @@ def group_members(df: DataFrame, row_id: str) -> DataFrame:
     return found.where("group_id IS NOT NULL").select("group_id", row_id)
 
 
-def _near_rows(distinct: DataFrame, keys: list[str], compare: list[str], m: int) -> DataFrame:
-    """Distinct rows (all columns) that have another row, or a copy, within ``m`` mismatches."""
-    cols = keys + compare
-    if m == 0:
-        return distinct.where("copies > 1").select(*cols, "copies")
-    blanks = F.array(*[F.array(*[F.lit(i) for i in pick])
-                       for pick in itertools.combinations(range(len(compare)), m)])
-    text = [F.coalesce(F.concat(F.lit("v"), q(c).cast("string")), F.lit("n")) for c in compare]
-    # A key other than the row itself makes one row's signatures comparable.
-    signature = F.array(*[F.when(F.array_contains("_blank", i), F.lit("")).otherwise(t)
-                          for i, t in enumerate(text)])
-    signed = distinct.withColumn("_blank", F.explode(blanks)).withColumn("_signature", signature)
-    by = [*keys, "_blank", "_signature"]
-    groups = write_table(signed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_members")).where("_members > 1"))
-    hit = lookup(signed, groups, by, "_rows", ["_members"]).where("_members IS NOT NULL")
-    return hit.groupBy(*cols).agg(F.max("copies").alias("copies"))
-
-
 def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date: str | None = None,
                     threshold: float = 0.95) -> DataFrame:
     """row id, rule_a, rule_b, rule_c, is_duplicate, group_id for every row.
 
     rule_a: identical row; rule_b: same date and at least ``threshold`` of the
-    other columns equal; rule_c: the same within entity and date. With
+    other columns equal; rule_c: the same within entity and date. A rule whose
+    columns are not named is false for all rows. Rows are collapsed to distinct
+    rows first, and those with few unequal columns are found by ``near_rows``.
     """
     df = nulls_for_nan(df)
     cols = [c for c in df.columns if c != row_id]
@@ -105,29 +87,24 @@ def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date:
         for rule, keys in rules.items():
             groups = groups.withColumn(rule, F.lit(keys is not None))
         return _flag_rows(df, row_id, cols, write_table(groups))
+    # Numbered before they are written, so that the numbers stay.
     distinct = write_table(df.groupBy(*[q(c) for c in cols]).agg(
-        F.count(F.lit(1)).alias("copies"), F.min(q(row_id)).alias("first_id")))
+        F.count(F.lit(1)).alias("copies"), F.min(q(row_id)).alias("first_id")).withColumn(
+        "distinct_row", F.monotonically_increasing_id()))
     exact = F.col("copies") > 1
-    marked = distinct.select(*cols, "copies", F.when(exact, F.col("first_id")).alias("group_id"),
-                             exact.alias("rule_a"))
+    marked = distinct.withColumns({"rule_a": exact, "group_id": F.when(exact, F.col("first_id"))})
     for rule, keys in rules.items():
         if keys is None:
             marked = marked.withColumn(rule, F.lit(False))
             continue
         compare = [c for c in cols if c not in keys]
-        m = spare[rule]
-        if m == 0:
+        if spare[rule] == 0:
             marked = marked.withColumn(rule, F.col("rule_a"))
             continue
-        near = _near_rows(distinct, keys, compare, m).withColumn(rule, F.lit(True))
-        near = write_table(near.select(*cols, rule).withColumn("_one", F.lit(1)))
-        # Both sides hold each distinct row once, so no key can be hot here.
-        cond = F.lit(True)
-        for c in cols:
-            cond = cond & F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))
-        marked = marked.alias("l").join(near.alias("r"), cond, "left").select(
-            "l.*", F.coalesce(F.col(f"r.{rule}"), F.lit(False)).alias(rule))
-    flagged = write_table(marked.where("rule_a OR rule_b OR rule_c"))
+        near = near_rows(distinct, "distinct_row", keys, compare, spare[rule])
+        marked = marked.join(near.withColumn("_near", F.lit(True)), "distinct_row", "left").withColumn(
+            rule, F.col("rule_a") | F.coalesce("_near", F.lit(False))).drop("_near")
+    flagged = write_table(marked.where("rule_a OR rule_b OR rule_c").drop("first_id", "distinct_row"))
     return _flag_rows(df, row_id, cols, flagged)
 
 

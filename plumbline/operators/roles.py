@@ -2,72 +2,67 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import MOMENTS, columns_of, q, string_columns, to_moment, type_of
+from plumbline.functions.date_text import SHAPES, first_two, parsed
 from plumbline.functions.tables import lookup, write_table
 
 # Words that make a column name look like a date.
 DATE_WORDS = ["date", "time", "year", "month", "day", "period", "timestamp"]
 
-# Formats tried for text; the best one per column counts.
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy",
-                "dd.MM.yyyy", "yyyyMMdd", "yyyy-MM"]
-
-
 def name_score(name: str) -> int:
     return sum(word in name.lower() for word in DATE_WORDS)
 
 
-def _shape(date_format: str) -> str:
-    """Regular expression of the text a numeric date format can match."""
-    parts = re.findall(r"[A-Za-z]+|[^A-Za-z]", date_format)
-    return "^" + "".join(f"\\d{{{len(p)}}}" if p[0] in "yMdHhmsS" else "." if p.isalpha() else re.escape(p)
-                         for p in parts) + "$"
-
-
 def detect_dates(df: DataFrame, formats: list[str] | None = None, threshold: float = 0.8,
                  cols: list[str] | None = None) -> DataFrame:
-    """column, position, name_score, parse_ratio, best_format, is_date, reason in one pass.
+    """column, position, name_score, parse_ratio, best_format, day_first, is_date, reason in one pass.
 
     Text and date columns are candidates; numbers are not dates unless they are
-    named in ``cols``. A text column that contains ``%`` is ruled out.
+    named in ``cols``. Every text column is counted by the shapes of dates that
+    its values have and parse as; where day and month could be swapped, the
+    column's largest numbers settle their order (month first if they don't).
+    ``formats`` are tried besides. A text column that contains ``%`` is ruled out.
     """
-    formats = formats or DATE_FORMATS
     names = cols or [c for c in df.columns if c in set(columns_of(df, (T.StringType, *MOMENTS)))]
     aggs, cells = [F.count(F.lit(1)).alias("n")], []
     for i, c in enumerate(names):
-        text = isinstance(type_of(df, c), T.StringType)
-        tries = formats if not isinstance(type_of(df, c), MOMENTS) else [""]
-        for j, f in enumerate(tries):
-            # Only text of the right shape is parsed; a failed parse is far dearer than a match.
-            value = q(c).cast("string")
-            hit = F.when(value.rlike(_shape(f)), F.try_to_timestamp(value, F.lit(f))) if f else q(c)
-            aggs.append(F.count(hit).alias(f"h_{i}_{j}"))
-        aggs.append((F.max(F.contains(q(c), F.lit("%"))) if text else F.lit(False)).alias(f"v_{i}"))
-        best = F.array_max(F.array(*[
-            F.struct(F.col(f"h_{i}_{j}").alias("hits"), F.lit(-j).alias("rank"))
-            for j in range(len(tries))]))
-        veto = F.coalesce(F.col(f"v_{i}"), F.lit(False))
-        cells.append(F.struct(
-            F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("position"),
-            F.lit(name_score(c)).alias("name_score"), veto.alias("veto"), best.alias("best"),
-            F.array(*[F.lit(f) for f in tries]).alias("tries")))
-    ratio = F.when(F.col("veto"), 0.0).otherwise(F.try_divide("best.hits", "n"))
-    table = df.agg(*aggs).select("n", F.inline(F.array(*cells)))
-    score = F.col("name_score")
-    return table.withColumn("parse_ratio", F.coalesce(ratio, F.lit(0.0))).select(
-        "column", "position", "name_score", "parse_ratio",
-        F.when(F.col("best.hits") > 0, F.nullif(
-            F.element_at("tries", 1 - F.col("best.rank")), F.lit(""))).alias("best_format"),
+        cell = [F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("position"), F.lit(name_score(c)).alias("name_score")]
+        if isinstance(type_of(df, c), MOMENTS):
+            aggs.append(F.count(q(c)).alias(f"h_{i}"))
+            cells.append(F.struct(*cell, F.lit(False).alias("veto"), F.col(f"h_{i}").alias("hits"),
+                                  F.lit(None).cast("string").alias("best_format"), F.lit(False).alias("day_first")))
+            continue
+        value = q(c).cast("string")
+        given = [F.try_to_timestamp(value, F.lit(f)).isNotNull() for f in formats or []]
+        counted = {}
+        taken = F.lit(False)
+        for k, (name, hit) in enumerate([*zip(formats or [], given), *[(s, parsed(value, s).isNotNull()) for s in SHAPES]]):
+            # A value counts for the first format that reads it; both orders of day and month stand for one.
+            aggs.append(F.count_if(hit & ~taken).alias(f"h_{i}_{k}"))
+            counted[name] = F.col(f"h_{i}_{k}")
+            if name in (formats or []):
+                taken = taken | F.coalesce(hit, F.lit(False))
+        one, two = first_two(value)
+        aggs += [F.max(one).alias(f"f_{i}"), F.max(two).alias(f"s_{i}"), F.max(F.contains(value, F.lit("%"))).alias(f"v_{i}")]
+        swapped = F.coalesce((F.col(f"f_{i}") > 12) & (F.col(f"s_{i}") <= 12), F.lit(False))
+        counted["m-d-y"] = F.when(swapped, 0).otherwise(counted["m-d-y"])
+        counted["d-m-y"] = F.when(swapped, counted["d-m-y"]).otherwise(0)
+        hits = sum(list(counted.values())[1:], list(counted.values())[0])
+        best = F.array_max(F.array(*[F.struct(n.cast("long").alias("n"), F.lit(-k).alias("at"), F.lit(f).alias("f")) for k, (f, n) in enumerate(counted.items())]))
+        cells.append(F.struct(*cell, F.coalesce(f"v_{i}", F.lit(False)).alias("veto"), hits.cast("long").alias("hits"),
+                              F.when(best["n"] > 0, best["f"]).alias("best_format"), swapped.alias("day_first")))
+    ratio = F.coalesce(F.when(F.col("veto"), 0.0).otherwise(F.try_divide("hits", "n")), F.lit(0.0))
+    table = df.agg(*aggs).select("n", F.inline(F.array(*cells))).withColumn("parse_ratio", ratio)
+    return table.select(
+        "column", "position", "name_score", "parse_ratio", "best_format", "day_first",
         (~F.col("veto") & ((F.col("parse_ratio") >= threshold)
-                           | ((score > 0) & (F.col("parse_ratio") > 0.3)))).alias("is_date"),
-        F.when(F.col("veto"), F.lit("Non-date pattern detected")).alias("reason"))
+                           | ((F.col("name_score") > 0) & (F.col("parse_ratio") > 0.3)))).alias("is_date"),
+        F.when(F.col("veto"), F.lit("text with percent signs")).alias("reason"))
 
 
 def choose_date(detected: DataFrame, override: str | None = None) -> str | None:

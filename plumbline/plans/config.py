@@ -22,4 +22,3 @@ class ValidationConfig:
     outlier_method: str = "iqr"
     outlier_k: float | None = None
     duplicate_threshold: float = 0.95
-    shapiro_rows: int = 5000

@@ -8,6 +8,7 @@ from plumbline.operators import describe, feeds, regression, shapiro
 from plumbline.plans.queries.common import rounded, table
 
 NUM = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+MIXED = ["l_linenumber", "l_partkey", "l_extendedprice", "l_tax"]
 PAIR = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
@@ -23,14 +24,26 @@ CELLS = "v AS (" + _each("SELECT '{c}' AS \"column\", {c}::DOUBLE AS value FROM
 FENCES = """q AS (SELECT "column", quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3,
 count(*) AS n FROM v GROUP BY 1)"""
 Z = """z AS (SELECT "column", avg(value) AS mean, stddev_pop(value) AS pop_std, count(*) AS n FROM v GROUP BY 1)"""
-RANKS = "r AS (SELECT " + ", ".join(
-    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in PAIR) + " FROM lineitem)"
 
 
-def _corr_sql(source: str) -> str:
+def _ranks_sql(cols) -> str:
+    return "r AS (SELECT " + ", ".join(
+        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in cols) + " FROM lineitem)"
+
+
+def _outliers_sql(rank: str, kept: str, capped: str) -> str:
+    """Values beyond the fences, sorted by their distance from them."""
+    return (f'WITH {CELLS}, {FENCES}, o AS (SELECT "column", value, CASE WHEN value < q1 - 0.4 * (q3 - q1) THEN q1 - 0.4 * (q3 - q1) - value '
+            "ELSE value - (q3 + 0.4 * (q3 - q1)) END AS distance, count(*) OVER (PARTITION BY \"column\") AS n_outliers "
+            "FROM v JOIN q USING (\"column\") WHERE \"column\" IN ('l_quantity', 'l_extendedprice') "
+            "AND (value < q1 - 0.4 * (q3 - q1) OR value > q3 + 0.4 * (q3 - q1))) "
+            f'SELECT "column", value, round(distance, 6) AS distance, {rank} AS rank, n_outliers, {capped} AS sample_capped FROM o QUALIFY {kept}')
+
+
+def _corr_sql(source: str, cols=PAIR) -> str:
     rows = [f"SELECT '{a}' AS col_a, '{b}' AS col_b, " + (
         "1.0" if a == b else f"round(corr({a}, {b}), 4) + 0.0") + f" AS r, count(*) AS n_used FROM {source}"
-            for a in PAIR for b in PAIR]
+            for a in cols for b in cols]
     return " UNION ALL ".join(rows)
 
 
@@ -46,6 +59,34 @@ c AS (SELECT count(*) AS n, corr(e2, x) AS r1, corr(e2, x2) AS r2, corr(x, x2) A
 t AS (SELECT 'breusch_pagan' AS test, n, r1 * r1 AS rsq, 1 AS df FROM c UNION ALL
 SELECT 'white', n, (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12), 2 FROM c)"""
 
+
+
+def _horner(coefficients: list[float], x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out.replace("e+", "E").replace("e-", "E-")
+
+
+def _w_sql() -> str:
+    """W of every column of v by windows: normal quantiles of all positions, then Royston's weights."""
+    (c1, c2), (t1, t2) = shapiro.CENTRE, shapiro.TAIL
+    poly = {k: _horner(list(reversed(c)), "u") for k, c in (("c1", shapiro.C1), ("c2", shapiro.C2))}
+    return f"""o AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) AS i,
+ count(*) OVER (PARTITION BY "column") AS n, avg(value) OVER (PARTITION BY "column") AS mean FROM v),
+ p AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM o),
+ r AS (SELECT *, 0.180625::DOUBLE - (p - 0.5) * (p - 0.5) AS a, sqrt(-ln(least(p, 1 - p))) - 1.6::DOUBLE AS b FROM p),
+ m AS (SELECT *, CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {_horner(c1, 'a')} / {_horner(c2, 'a')}
+  ELSE sign(p - 0.5) * {_horner(t1, 'b')} / {_horner(t2, 'b')} END AS m FROM r),
+ s AS (SELECT "column", n, sum(m * (value - mean)) AS weighted, sum(m * m) AS norm2, sum((value - mean) * (value - mean)) AS squares,
+  max(value) FILTER (i = n) - max(value) FILTER (i = 1) AS outer0, max(value) FILTER (i = n - 1) - max(value) FILTER (i = 2) AS outer1,
+  max(m) FILTER (i = n) AS m0, max(m) FILTER (i = n - 1) AS m1, 1 / sqrt(n) AS u FROM m GROUP BY "column", n),
+ w AS (SELECT *, m0 / sqrt(norm2) + {poly['c1']} AS a0, m1 / sqrt(norm2) + {poly['c2']} AS a1 FROM s),
+ f AS (SELECT *, (norm2 - 2 * m0 * m0 - 2 * m1 * m1) / (1 - 2 * a0 * a0 - 2 * a1 * a1) AS phi FROM w)
+ SELECT "column", n AS n_used, round(pow((weighted - m0 * outer0 - m1 * outer1) / sqrt(phi) + a0 * outer0 + a1 * outer1, 2) / squares, 6)
+  AS statistic, n > 5000 AS large_sample FROM f"""
+
+
 QUERIES = {
     "numeric_range_lineitem": (
         lambda s, d: describe.numeric_range(_lineitem(s, d), NUM),
@@ -77,23 +118,31 @@ QUERIES = {
         "count(*) FILTER (abs((value - mean) / pop_std) > 1.6) AS n_outliers "
         'FROM v JOIN z USING ("column") GROUP BY ALL'),
     "outlier_values_lineitem": (
-        lambda s, d: describe.outlier_values(_lineitem(s, d), ["l_quantity", "l_extendedprice"], k=0.4),
-        f'WITH {CELLS}, {FENCES}, o AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) '
-        'AS k FROM v JOIN q USING ("column") WHERE "column" IN (\'l_quantity\', \'l_extendedprice\') AND '
-        "(value < q1 - 0.4 * (q3 - q1) OR value > q3 + 0.4 * (q3 - q1))) "
-        'SELECT "column", value FROM o WHERE k <= 500'),
+        lambda s, d: rounded(describe.outlier_values(_lineitem(s, d), ["l_quantity", "l_extendedprice"], k=0.4), distance=6),
+        _outliers_sql("rank() OVER (PARTITION BY \"column\" ORDER BY distance DESC)", "true", "false")),
+    "outlier_values_furthest_lineitem": (
+        lambda s, d: rounded(describe.outlier_values(_lineitem(s, d), ["l_quantity", "l_extendedprice"], k=0.4, limit=500), distance=6),
+        _outliers_sql("rank() OVER (PARTITION BY \"column\" ORDER BY distance DESC)",
+                      "row_number() OVER (PARTITION BY \"column\" ORDER BY distance DESC, value) <= 500", "n_outliers > 500")),
     "pearson_lineitem": (
         lambda s, d: describe.correlation(_lineitem(s, d), PAIR).drop("error"), _corr_sql("lineitem")),
     "spearman_lineitem": (
         lambda s, d: describe.correlation(_lineitem(s, d), PAIR, "spearman").drop("error"),
-        f"WITH {RANKS} {_corr_sql('r')}"),
+        f"WITH {_ranks_sql(PAIR)} {_corr_sql('r')}"),
+    "spearman_wide_domain_lineitem": (
+        lambda s, d: describe.correlation(_lineitem(s, d), MIXED, "spearman").drop("error"),
+        f"WITH {_ranks_sql(MIXED)} {_corr_sql('r', MIXED)}"),
     "jarque_bera_lineitem": (
         lambda s, d: rounded(describe.jarque_bera(_lineitem(s, d), NUM).drop("error"), statistic=4, p_value=8),
         f"WITH {CELLS}, {MOMENTS}, j AS (SELECT *, n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + "
         'pow(m4 / (m2 * m2) - 3, 2) / 4) AS jb FROM m) SELECT "column", \'jarque_bera\' AS test, n AS n_used, '
         "round(jb, 4) AS statistic, round(exp(-jb / 2), 8) AS p_value, exp(-jb / 2) >= 0.05 AS is_normal FROM j"),
-    "shapiro_wilk_lineitem": (lambda s, d: shapiro.shapiro(_lineitem(s, d), NUM), None),
-    "shapiro_wilk_supplier": (lambda s, d: shapiro.shapiro(table(s, d, "supplier"), ["s_acctbal"]), None),
+    "shapiro_wilk_lineitem": (
+        lambda s, d: rounded(shapiro.shapiro(_lineitem(s, d), NUM).select("column", "n_used", "statistic", "large_sample"), statistic=6),
+        f"WITH {CELLS}, {_w_sql()}"),
+    "shapiro_wilk_supplier": (
+        lambda s, d: rounded(shapiro.shapiro(table(s, d, "supplier"), ["s_acctbal"]).select("column", "n_used", "statistic", "large_sample"), statistic=6),
+        f"WITH v AS (SELECT 's_acctbal' AS \"column\", s_acctbal::DOUBLE AS value FROM supplier), {_w_sql()}"),
     "vif_lineitem": (
         lambda s, d: rounded(regression.vif(_lineitem(s, d), PAIR).drop("error"), vif=8),
         "WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS ab, corr(l_quantity, l_discount) AS ac, "

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import dates
+from plumbline.functions.columns import to_moment
+from plumbline.functions.tables import write_table
+from plumbline.operators import dates, roles
 from plumbline.plans.queries.common import as_text, monthly_panel, rounded, table
 
 TEXT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -48,7 +50,71 @@ def _fill_sql(value: str, where: str = "true") -> str:
             f"y IS NULL AS is_filled FROM w WHERE {where}")
 
 
+def mixed_panel(spark, folder):
+    """Entities on days, on Sundays and on month ends, each with holes."""
+    orders = table(spark, folder, "orders").select("o_orderpriority", "o_orderdate")
+    sunday = F.date_add(F.date_trunc("week", "o_orderdate").cast("date"), 6)
+    month_end = F.last_day("o_orderdate")
+    pick = [("daily", "1-URGENT", F.col("o_orderdate").cast("date"), F.lit(True)),
+            ("weekly", "2-HIGH", sunday, F.floor(F.datediff(sunday, F.lit("1992-01-05").cast("date")) / 7) % 9 != 0),
+            ("monthly", "3-MEDIUM", month_end, F.month(month_end) % 5 != 0)]
+    out = None
+    for name, priority, day, kept in pick:
+        one = orders.where((F.col("o_orderpriority") == priority) & kept).select(F.lit(name).alias("entity"), day.cast("timestamp_ntz").alias("ts")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def mixed_runs(spark, folder):
+    """(dates of the mixed panel, frequency of every entity as inferred)."""
+    runs = dates.date_runs(mixed_panel(spark, folder), "ts", ["entity"])
+    return runs, write_table(dates.infer_frequency(runs).select("entity", "freq"))
+
+
+MIXED = """u AS (SELECT DISTINCT 'daily' AS entity, o_orderdate::TIMESTAMP AS ts FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL
+SELECT DISTINCT 'weekly', date_trunc('week', o_orderdate)::DATE + INTERVAL 6 DAY FROM orders WHERE o_orderpriority = '2-HIGH'
+ AND (date_diff('day', DATE '1992-01-05', (date_trunc('week', o_orderdate)::DATE + INTERVAL 6 DAY)::DATE) // 7) % 9 <> 0 UNION ALL
+SELECT DISTINCT 'monthly', last_day(o_orderdate)::TIMESTAMP FROM orders WHERE o_orderpriority = '3-MEDIUM' AND month(o_orderdate) % 5 <> 0),
+e AS (SELECT entity, min(ts) AS lo, max(ts) AS hi, count(*) AS actual FROM u GROUP BY 1),
+g AS (SELECT entity, unnest(generate_series(lo, hi, CASE entity WHEN 'daily' THEN INTERVAL 1 DAY ELSE INTERVAL 7 DAY END)) AS ts
+ FROM e WHERE entity <> 'monthly' UNION ALL
+ SELECT entity, last_day(m)::TIMESTAMP FROM (SELECT entity, unnest(generate_series(date_trunc('month', lo), hi, INTERVAL 1 MONTH)) AS m
+ FROM e WHERE entity = 'monthly')),
+x AS (SELECT * FROM g ANTI JOIN u USING (entity, ts))"""
+
+# Ways to write the date of an order as text.
+WRITTEN = {"iso_t": "yyyy-MM-dd'T'HH:mm:ss", "fraction": "yyyy-MM-dd HH:mm:ss.SSS", "zoned": "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "us": "M/d/yyyy",
+           "european": "d.M.yyyy", "named": "d MMM yyyy", "full": "MMMM d, yyyy", "day_name": "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "compact": "yyyyMMdd"}
+
+
+def written_dates(spark, folder):
+    return table(spark, folder, "orders").select("o_orderkey", "o_orderdate", *[
+        F.date_format("o_orderdate", f).alias(name) for name, f in WRITTEN.items()])
+
+
+def read_dates(spark, folder):
+    """Every way read back, with the order of day and month that its column settles."""
+    rows = written_dates(spark, folder)
+    swapped = {r["column"]: r["day_first"] for r in roles.detect_dates(rows.select(*WRITTEN)).collect()}
+    return as_text(rows.select("o_orderkey", *[to_moment(rows, c, day_first=swapped[c]).alias(c) for c in WRITTEN]), *WRITTEN)
+
+
 QUERIES = {
+    "date_shapes_orders": (
+        lambda s, d: roles.detect_dates(written_dates(s, d).select(*WRITTEN)).select("column", "parse_ratio", "best_format", "day_first", "is_date"),
+        " UNION ALL ".join(f"SELECT '{c}' AS \"column\", 1.0::DOUBLE AS parse_ratio, '{shape}' AS best_format, {c == 'european'} AS day_first, true AS is_date"
+                           for c, shape in zip(WRITTEN, ("y-m-d", "y-m-d", "y-m-d", "m-d-y", "d-m-y", "d name y", "name d y", "d name y", "yyyymmdd")))),
+    "dates_in_text_orders": (
+        read_dates, "SELECT o_orderkey, " + ", ".join(f"{TEXT.format('o_orderdate')} AS {c}" for c in WRITTEN) + " FROM orders"),
+    "missing_dates_mixed_panel": (
+        lambda s, d: as_text(dates.missing_dates(*mixed_runs(s, d)), "missing_ts"),
+        f"WITH {MIXED} SELECT entity, {TEXT.format('ts')} AS missing_ts FROM x"),
+    "missing_date_counts_mixed_panel": (
+        lambda s, d: as_text(dates.missing_date_counts(*mixed_runs(s, d)), "start", "end"),
+        f"WITH {MIXED}, k AS (SELECT entity, count(*) AS m FROM x GROUP BY 1), n AS (SELECT entity, count(*) AS n FROM g GROUP BY 1) "
+        f"SELECT entity, {TEXT.format('lo')} AS \"start\", {TEXT.format('hi')} AS \"end\", CASE entity WHEN 'daily' THEN 'D' WHEN 'weekly' THEN 'W' "
+        "ELSE 'M' END AS frequency, coalesce(m, 0) AS missing_count, n AS expected_length, actual AS actual_length "
+        "FROM e JOIN n USING (entity) LEFT JOIN k USING (entity)"),
     "date_range_orders": (
         lambda s, d: as_text(dates.date_range(table(s, d, "orders"), "o_orderdate", ["o_orderpriority"]).drop("error"),
                              "start", "end"),

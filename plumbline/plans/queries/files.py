@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.functions.tables import shared_folder
 from plumbline.operators import describe, missing, panel
@@ -38,7 +39,6 @@ def messy_lines(spark: SparkSession, folder: str) -> DataFrame:
                                            .otherwise(line).alias("value"))
     rows.select("value").write.text(path)
     schema = "c_custkey long, c_name string, c_nationkey int"
-    from pyspark.sql.types import StructType
     reader_schema = StructType.fromDDL(schema)
     # Part files carry no header of their own, so the reader is told the columns.
     return readers.read_delimited(spark, path, delimiter=",", schema=reader_schema, header=False)
@@ -56,6 +56,33 @@ def text_checks(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def quoted_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as text whose names hold doubled quotes and delimiters, behind more than a hundred lines of notes."""
+    path = _fresh(spark)
+    note = spark.range(150).select(F.concat(F.lit("note "), F.col("id").cast("string")).alias("value"))
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(';"'), "c_name", F.lit(' ""of"" '), "c_mktsegment",
+                    F.lit('; a, b | ""c"""'), F.lit(";"), F.col("c_nationkey").cast("string"))
+    note.coalesce(1).write.text(path)
+    _customer(spark, folder).select(line.alias("value")).write.mode("append").text(path)
+    schema = StructType.fromDDL("c_custkey long, c_name string, c_nationkey int")
+    return readers.read_delimited(spark, path, schema=schema, header=False).where("c_custkey IS NOT NULL")
+
+
+def sniffed(spark: SparkSession, folder: str) -> DataFrame:
+    """What the sniff says of three ways to write the same customers."""
+    rows = _customer(spark, folder)
+    said = rows.select("c_custkey", F.concat(F.lit('say "a, b" '), "c_name").alias("c_name"))
+    parts = []
+    for name, options in (("doubled", {"sep": ";", "escape": '"'}), ("backslash", {"sep": "|"}), ("latin", {"sep": "\t", "encoding": "ISO-8859-1"})):
+        path = _fresh(spark)
+        (said if name != "latin" else rows.select("c_custkey", F.lit("é"))).write.options(**options, quoteAll=True).csv(path)
+        seen = readers.sniff(spark, path)
+        text = readers.sniff_table(spark, path).where((F.col("delimiter") == seen.delimiter) & (F.col("quoting") == "doubled"))
+        parts.append(text.select(F.lit(name).alias("written"), F.lit(seen.delimiter).alias("delimiter"), F.lit(seen.encoding).alias("encoding"),
+                                 F.lit(seen.escape).alias("escape"), "n_lines", (F.col("n_not_utf8") > 0).alias("other_bytes")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def encodings(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as UTF-8 and as ISO-8859-1; the second is recognised by its invalid bytes."""
     docs = table(spark, folder, "documents").select(F.concat(F.lit("é "), F.col("lang"), F.lit(" "), "source").alias("value"))
@@ -105,6 +132,12 @@ QUERIES = {
                      "FROM customer WHERE c_custkey % 7 <> 0"),
     "delimiter_counts_customer": (
         text_checks, " UNION ALL ".join(f"SELECT '{c}' AS written, '{c}' AS found, 2 AS fewest, 2 AS most" for c in ",;|")),
+    "read_quoted_customer": (
+        quoted_names, "SELECT c_custkey, c_name || ' \"of\" ' || c_mktsegment || '; a, b | \"c\"' AS c_name, c_nationkey FROM customer"),
+    "sniffed_customer": (
+        sniffed, "SELECT 'doubled' AS written, ';' AS delimiter, 'UTF-8' AS encoding, '\"' AS escape, count(*) AS n_lines, false AS other_bytes "
+                 "FROM customer UNION ALL SELECT 'backslash', '|', 'UTF-8', chr(92), count(*), false FROM customer "
+                 "UNION ALL SELECT 'latin', chr(9), 'ISO-8859-1', '\"', count(*), true FROM customer"),
     "encodings_documents": (
         encodings, "SELECT 'UTF-8' AS written, 'UTF-8' AS found, count(*) AS n_rows, count(*) AS n_kept FROM documents "
                    "UNION ALL SELECT 'ISO-8859-1', 'ISO-8859-1', count(*), count(*) FROM documents"),

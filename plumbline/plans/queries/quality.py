@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,68 @@ NEAR = """near AS (SELECT a.o_orderkey,
  FROM orders a)"""
 
 
+# Wide tables: the lines of an order share most columns, each but a few; in the second table half of the rows have one date.
+WIDE = 7
+
+
+def wide_lines(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    return table(spark, folder, "lineitem").selectExpr(
+        f"l_orderkey * {WIDE} + l_linenumber AS line_id", "date_add(date '1992-01-01', cast(l_orderkey % 2400 AS int)) AS day",
+        "l_returnflag AS flag", *[_wide_column(i, n) for i in range(n)])
+
+
+def _wide_column(i: int, n: int) -> str:
+    """Column ``i`` of ``n``: the order's value, and in about three of all columns the line's own."""
+    return (f"CASE WHEN (l_linenumber * 7 + l_partkey + {5 * i}) % {n} < 3 THEN l_linenumber + 1000 * {i} "
+            f"ELSE l_orderkey * {i + 3} % {11 + i} END AS c{i}")
+
+
+def wide_customers(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    return table(spark, folder, "customer").selectExpr(
+        "c_custkey", f"CASE WHEN c_custkey % 2 = 0 THEN date '2000-01-01' ELSE {_customer_day('date_add')} END AS day",
+        *[f"{_customer_column(i)} AS c{i}" for i in range(n)])
+
+
+def _customer_day(add: str) -> str:
+    return f"{add}(date '2000-01-02', cast(c_custkey % 50 AS int))"
+
+
+def _customer_column(i: int) -> str:
+    """Families of eight rows; each row has values of its own here and there."""
+    return f"CASE WHEN (c_custkey * 13 + {7 * i}) % 37 = 0 THEN c_custkey ELSE floor(c_custkey / 16) * {i + 1} % {3 + i % 5} END"
+
+
+def _near_sql(rows: str, row_id: str, keys: list[str], cols: list[str], least: int) -> str:
+    """Does another row have the same keys and at least ``least`` equal columns? By pairs of rows."""
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    equal = " + ".join(f"(a.{c} = b.{c})::INT" for c in cols)
+    return (f"SELECT DISTINCT a.{row_id} FROM {rows} a JOIN {rows} b ON {same} AND a.{row_id} <> b.{row_id} AND {equal} >= {least}")
+
+
+def wide_lines_query(n: int) -> tuple:
+    cols, least = [f"c{i}" for i in range(n)], math.ceil
+    select = ", ".join(_wide_column(i, n) for i in range(n))
+    sql = (f"WITH w AS MATERIALIZED (SELECT l_orderkey * {WIDE} + l_linenumber AS line_id, date '1992-01-01' + (l_orderkey % 2400)::INT AS day, "
+           f"l_returnflag AS flag, {select} FROM lineitem), "
+           f"g AS (SELECT day, flag, {', '.join(cols)}, count(*) AS copies FROM w GROUP BY ALL), "
+           f"b AS ({_near_sql('w', 'line_id', ['day'], ['flag', *cols], least((n + 1) * 0.95))}), "
+           f"c AS ({_near_sql('w', 'line_id', ['flag', 'day'], cols, least(n * 0.95))}) "
+           "SELECT line_id, copies > 1 AS rule_a, line_id IN (SELECT line_id FROM b) AS rule_b, line_id IN (SELECT line_id FROM c) AS rule_c "
+           f"FROM w JOIN g USING (day, flag, {', '.join(cols)})")
+    return (lambda s, d: duplicates.flag_duplicates(wide_lines(s, d, n), "line_id", "flag", "day").select(
+        "line_id", "rule_a", "rule_b", "rule_c"), sql)
+
+
+def wide_customers_query(n: int) -> tuple:
+    cols = [f"c{i}" for i in range(n)]
+    select = ", ".join(f"{_customer_column(i)} AS c{i}" for i in range(n))
+    sql = (f"WITH w AS MATERIALIZED (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN date '2000-01-01' ELSE "
+           f"date '2000-01-02' + (c_custkey % 50)::INT END AS day, {select} FROM customer), "
+           f"b AS ({_near_sql('w', 'c_custkey', ['day'], cols, math.ceil(n * 0.95))}) "
+           "SELECT c_custkey, c_custkey IN (SELECT c_custkey FROM b) AS rule_b FROM w")
+    return (lambda s, d: duplicates.flag_duplicates(wide_customers(s, d, n), "c_custkey", date="day").select("c_custkey", "rule_b"), sql)
+
+
 def dataset_types(spark: SparkSession, folder: str) -> DataFrame:
     parts = [("events", ["ts"]), ("orders", ["o_orderdate"]), ("part", []), ("lineitem", ["l_shipdate"])]
     out = None
@@ -131,6 +195,10 @@ QUERIES = {
         lambda s, d: order_flags(s, d, threshold=0.5).select("o_orderkey", "rule_a", "rule_b", "rule_c"),
         f"WITH {ORDER_GROUPS}, {NEAR} SELECT o_orderkey, dup AS rule_a, rule_b, dup AS rule_c "
         "FROM f JOIN near USING (o_orderkey)"),
+    "near_duplicates_24_columns_lineitem": wide_lines_query(24),
+    "near_duplicates_60_columns_lineitem": wide_lines_query(60),
+    "near_duplicates_120_columns_lineitem": wide_lines_query(120),
+    "near_duplicates_skewed_date_customer": wide_customers_query(60),
     "key_duplicates_orders": (
         lambda s, d: duplicates.key_duplicates(table(s, d, "orders"), "o_orderkey", ["o_custkey", "o_orderdate"]),
         "SELECT o_orderkey, copies FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderdate) "

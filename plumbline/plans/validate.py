@@ -21,6 +21,7 @@ from plumbline.sources.readers import profile
 from plumbline.sources.sinks import ResultFolder
 
 Results = dict[str, DataFrame]
+NO_CALENDAR = "the dates follow no known frequency, so none can be said to be missing"
 KINDS = ("cross_sectional", "time_series", "panel")
 
 
@@ -55,10 +56,14 @@ def validate(df: DataFrame, config: ValidationConfig | None = None, sink: Result
     detected = write_table(roles.detect_dates(df, cfg.date_formats or None))
     run.add("date_detection", lambda: detected)
     date = roles.choose_date(detected, cfg.date_column)
+    swapped = date is not None and not detected.where((F.col("column") == date) & F.col("day_first")).isEmpty()
     numeric = cfg.value_columns or [c for c in numeric_columns(df) if c not in (date, cfg.row_id)]
     texts = [c for c in string_columns(df) if c != date]
 
     _quality(run, df, cfg, date)
+    if date is not None:
+        # From here on the date column holds moments, whatever shape its text has.
+        df = df.withColumn(date, to_moment(df, date, cfg.date_formats, swapped))
     kind = cfg.dataset_type
     if kind is None:
         table = run.add("dataset_type", lambda: roles.classify(df, [date] if date else [], texts))
@@ -124,7 +129,7 @@ def _cross_section(run: Run, df: DataFrame, cfg: ValidationConfig, numeric: list
     run.add("ols", lambda: regression.ols(df, y, xs))
     het = run.add("heteroskedasticity", lambda: regression.heteroskedasticity(df, y, xs))
     jb = run.add("jarque_bera", lambda: describe.jarque_bera(df, numeric))
-    sw = run.add("shapiro_wilk", lambda: shapiro.shapiro(df, numeric, cfg.shapiro_rows))
+    sw = run.add("shapiro_wilk", lambda: shapiro.shapiro(df, numeric))
     pearson = run.add("pearson", lambda: describe.correlation(df, numeric))
     spearman = run.add("spearman", lambda: describe.correlation(df, numeric, "spearman"))
     rules = [(out, fd.outlier_findings), (vif, fd.vif_findings), (cond, fd.condition_findings),
@@ -149,27 +154,22 @@ def _union_findings(run: Run, rules: list) -> None:
 
 def _time_series(run: Run, df: DataFrame, cfg: ValidationConfig, date: str, numeric: list[str],
                  keys: list[str]) -> None:
-    rows = df.withColumn(date, to_moment(df, date, cfg.date_formats))
+    rows = df
     run.add("date_range", lambda: dates.date_range(rows, date, keys))
     runs = dates.date_runs(rows, date, keys)
     inferred = write_table(dates.infer_frequency(runs))
     run.add("inferred_frequency", lambda: inferred)
-    freq = cfg.frequency or cfg.panel_frequency
-    if freq is None:
-        # One frequency for the grid: the one most entities have.
-        best = inferred.where("freq IS NOT NULL").groupBy("freq").agg(F.count(F.lit(1)).alias("n")).orderBy(
-            F.desc("n"), "freq").first()
-        freq = best["freq"] if best else None
+    # Every entity has its own calendar unless the job names one.
+    named = cfg.frequency or cfg.panel_frequency
+    freq = named or (write_table(inferred.select(*keys, "freq")) if keys else (inferred.select("freq").first() or [None])[0])
     frequencies = run.add("frequency", lambda: dates.frequency(runs, freq))
     run.add("delta_counts", lambda: dates.delta_counts(runs))
     run.add("gaps", lambda: dates.gaps(runs))
-    run.add("missing_date_counts", lambda: dates.missing_date_counts(runs, freq) if freq else _fail(
-        "Missing date detection requires known frequency."))
-    run.add("missing_dates", lambda: dates.missing_dates(runs, freq) if freq else _fail(
-        "Missing date detection requires known frequency."))
+    run.add("missing_date_counts", lambda: dates.missing_date_counts(runs, freq) if freq is not None else _fail(NO_CALENDAR))
+    run.add("missing_dates", lambda: dates.missing_dates(runs, freq) if freq is not None else _fail(NO_CALENDAR))
     if not numeric:
         return
-    if freq and cfg.missing_dates_action in ("forward_fill", "interpolate"):
+    if freq is not None and cfg.missing_dates_action in ("forward_fill", "interpolate"):
         run.add("filled_series", lambda: dates.fill_gaps(rows, date, numeric[0], freq, cfg.missing_dates_action, keys))
     series = build_series(rows, date, numeric, keys)
     period = cfg.seasonal_period or inferred.select(*keys, F.col("seasonal_period").alias("period"))
@@ -196,7 +196,7 @@ def _time_series(run: Run, df: DataFrame, cfg: ValidationConfig, date: str, nume
 
 
 def _panel(run: Run, df: DataFrame, cfg: ValidationConfig, date: str, entity: str, numeric: list[str]) -> None:
-    rows = df.withColumn(date, to_moment(df, date, cfg.date_formats)).where(q(entity).isNotNull())
+    rows = df.where(q(entity).isNotNull())
     run.add("panel_ranges", lambda: panel.panel_ranges(rows, entity, date))
     bal = run.add("panel_balance", lambda: panel.balance(df, entity, date))
     run.add("panel_variance", lambda: panel.variance_decomposition(df, entity, numeric))

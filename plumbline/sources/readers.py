@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,45 +15,94 @@ DELIMITERS = [",", ";", "\t", "|"]
 ODD_LINE = "_odd_line"
 
 
-def delimiter_counts(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
-    """delimiter, fewest, most: occurrences per line outside quotes over the first lines."""
-    head = spark.read.text(path).limit(lines).where(F.length("value") > 0)
-    bare = F.regexp_replace("value", '"[^"]*"', "")
-    one = head.select(bare.alias("v")).agg(*[
-        a for i, d in enumerate(DELIMITERS) for n in [F.length("v") - F.length(F.replace("v", F.lit(d), F.lit("")))]
-        for a in (F.min(n).alias(f"lo{i}"), F.max(n).alias(f"hi{i}"))])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(d).alias("delimiter"), F.lit(i).alias("position"), F.col(f"lo{i}").alias("fewest"),
-                 F.col(f"hi{i}").alias("most")) for i, d in enumerate(DELIMITERS)])))
+ESCAPES = {"doubled": '"', "backslash": "\\"}
+
+
+def _bare(value: Column, escape: str, delimiters: str) -> Column:
+    """The line without its quoted fields; a quote opens a field only at its start."""
+    inner = '[^"]|""' if escape == '"' else r'[^"\\]|\\.'
+    return F.regexp_replace(value, rf'(?:^|(?<=[{delimiters}]))"(?:{inner})*"', "")
+
+
+def _classed(delimiters: list[str]) -> str:
+    return "".join(f"\\{d}" if d in "\\]^-|[" else d for d in delimiters)
+
+
+def sniff_table(spark: SparkSession, path: str) -> DataFrame:
+    """quoting, delimiter, position, fewest, most, usual, n_usual, n_lines, n_escaped, n_not_utf8 over the whole text.
+
+    One pass over all lines with something in them: how often each delimiter stands outside quotes, read with either way to write
+    a quote inside quotes. ``usual`` is the most common count above zero, ``n_usual`` the lines that have it; ``n_escaped``
+    counts lines with a quote written this way, and ``n_not_utf8`` those with bytes that are not UTF-8.
+    """
+    value = F.col("value")
+    found = {"doubled": value.rlike(r'"[^",;\t|]*""[^",;\t|]'), "backslash": value.contains('\\"')}
+    cells = [F.struct(F.lit(style).alias("quoting"), F.lit(d).alias("delimiter"), F.lit(i).alias("position"),
+                      (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("k"), found[style].alias("escaped"))
+             for style, escape in ESCAPES.items() for bare in [F.col(style)] for i, d in enumerate(DELIMITERS)]
+    lines = spark.read.text(path).where(F.length("value") > 0).select(
+        "value", *[_bare(value, escape, _classed(DELIMITERS)).alias(style) for style, escape in ESCAPES.items()])
+    counts = lines.select((~F.is_valid_utf8("value")).alias("bad"), F.inline(F.array(*cells))).groupBy(
+        "quoting", "delimiter", "position", "k").agg(F.count(F.lit(1)).alias("n"), F.count_if("escaped").alias("e"), F.count_if("bad").alias("b"))
+    usual = F.max_by("k", F.when(F.col("k") > 0, F.struct("n", "k")))
+    return counts.groupBy("quoting", "delimiter", "position").agg(
+        F.min("k").alias("fewest"), F.max("k").alias("most"), F.coalesce(usual, F.lit(0)).alias("usual"),
+        F.coalesce(F.max(F.when(F.col("k") > 0, F.col("n"))), F.lit(0)).alias("n_usual"), F.sum("n").alias("n_lines"),
+        F.sum("e").alias("n_escaped"), F.sum("b").alias("n_not_utf8"))
+
+
+@dataclass(frozen=True)
+class Sniffed:
+    """What a look at the whole text says of how to read it."""
+
+    delimiter: str
+    encoding: str
+    escape: str
+
+
+def sniff(spark: SparkSession, path: str) -> Sniffed:
+    """Delimiter, encoding and quoting from one pass.
+
+    The delimiter is the one whose usual number of occurrences is that of the most lines, the most frequent one on ties, else
+    the comma. Text that is not UTF-8 throughout is read as ISO-8859-1, which accepts any byte. Quotes inside quotes are
+    doubled unless only backslashes occur before them.
+    """
+    rows = sniff_table(spark, path).collect()
+    escaped = {r["quoting"]: r["n_escaped"] for r in rows}
+    style = "backslash" if escaped.get("backslash") and not escaped.get("doubled") else "doubled"
+    usable = [r for r in rows if r["quoting"] == style and r["usual"]]
+    best = min(usable, key=lambda r: (-r["n_usual"], -r["usual"], r["position"]))["delimiter"] if usable else ","
+    return Sniffed(best, "ISO-8859-1" if any(r["n_not_utf8"] for r in rows) else "UTF-8", ESCAPES[style])
+
+
+def delimiter_counts(spark: SparkSession, path: str) -> DataFrame:
+    """delimiter, position, fewest, most, usual, n_usual, n_lines: occurrences per line outside quotes (doubled inside)."""
+    return sniff_table(spark, path).where("quoting = 'doubled'").select(
+        "delimiter", "position", "fewest", "most", "usual", "n_usual", "n_lines")
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that occurs equally often in every line, the most frequent one first; else comma."""
-    rows = delimiter_counts(spark, path).collect()
-    steady = [r for r in rows if r["fewest"] and r["fewest"] == r["most"]]
-    # A few broken lines must not hide the delimiter.
-    usable = steady or [r for r in rows if r["fewest"]]
-    return min(usable, key=lambda r: (-r["fewest"], r["position"]))["delimiter"] if usable else ","
+    return sniff(spark, path).delimiter
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line of the whole input is valid UTF-8, else ISO-8859-1, which accepts any byte."""
-    bad = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value"))).first()[0]
-    return "UTF-8" if bad == 0 else "ISO-8859-1"
+    return sniff(spark, path).encoding
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None,
                    schema: T.StructType | None = None, multi_line: bool = False,
-                   header: bool = True) -> DataFrame:
+                   header: bool = True, escape: str | None = None) -> DataFrame:
     """Delimited text, by default with a header row in every file.
 
     Lines with too many fields are left out, lines with too few are filled with
-    NULL. Give ``schema`` for big inputs; inferring it costs one more scan.
+    NULL. What is not given is found out in one pass (see :func:`sniff`). Give
+    ``schema`` for big inputs; inferring it costs one more scan.
     """
-    delimiter = delimiter or detect_delimiter(spark, path)
-    encoding = encoding or detect_encoding(spark, path)
+    if delimiter is None or encoding is None or escape is None:
+        seen = sniff(spark, path)
+        delimiter, encoding, escape = delimiter or seen.delimiter, encoding or seen.encoding, escape or seen.escape
     reader = spark.read.option("header", header).option("sep", delimiter).option("encoding", encoding).option(
-        "multiLine", multi_line).option("enforceSchema", True)
+        "multiLine", multi_line).option("enforceSchema", True).option("quote", '"').option("escape", escape)
     if schema is None:
         schema = reader.option("inferSchema", True).csv(path).schema
     # The parser keeps a line whose number of fields is not the header's in a column of its own. Columns are not pruned,
@@ -61,7 +112,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     rows = reader.schema(full).option("mode", "PERMISSIVE").option("columnPruning", False).option(
         "columnNameOfCorruptRecord", ODD_LINE).csv(path)
     # Delimiters outside quotes; lines that are only short, or have a field of another type, stay.
-    bare = F.regexp_replace(F.col(ODD_LINE), r'"[^"]*"', "")
+    bare = _bare(F.col(ODD_LINE), escape, _classed([*delimiter]))
     found = (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / len(delimiter)
     # The kept line may not be the only column that a query reads, so the condition reads the first one too.
     first = F.length(F.coalesce(q(names[0]).cast("string"), F.lit(""))) >= 0

@@ -115,11 +115,36 @@ def test_published_shapiro_values():
 
 
 def test_shapiro_on_columns(spark, df):
-    got = shapiro.shapiro(df, ["x1", "heavy"], sample_rows=300).toPandas().set_index("column")
+    got = shapiro.shapiro(df, ["x1", "heavy"]).toPandas().set_index("column")
     assert got.loc["x1", "is_normal"] and not got.loc["heavy", "is_normal"]
-    assert set(got.n_used) == {300} and got.subsampled.all()
-    copies = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 1.0D ELSE cast(id AS double) END AS v")
-    assert shapiro.shapiro(copies, sample_rows=400).first().n_used == 400     # copies do not crowd the sample
+    assert set(got.n_used) == {df.count()}
+
+
+def test_shapiro_by_sums_equals_shapiro_at_hand(spark, monkeypatch):
+    monkeypatch.setattr(shapiro, "PIECE", 7)
+    rng = np.random.default_rng(2)
+    arrays = {"normal": rng.normal(50, 3, 700), "ties": rng.integers(0, 4, 300) * 1.0, "three": np.array([1.0, 5.0, 2.0]), "four": np.array([1.0, 2.0, 4.0, 8.0]),
+              "five": np.array([1.0, 2.0, 4.0, 8.0, 8.5]), "seven": rng.random(7), "flat": np.full(9, 2.0), "two": np.array([1.0, 2.0]), "many": rng.exponential(size=6000)}
+    rows = pd.DataFrame({k: pd.Series(v) for k, v in arrays.items()})
+    got = {r["column"]: r for r in shapiro.shapiro(spark.createDataFrame(rows).repartition(5)).collect()}
+    for name, values in arrays.items():
+        assert got[name].n_used == len(values) and got[name].large_sample == (len(values) > 5000)
+        if name == "two":
+            assert got[name].error
+            continue
+        w, p = shapiro.shapiro_wilk(values)
+        assert abs(got[name].statistic - w) < 1e-10 and abs(got[name].p_value - p) < 1e-8, name
+    # Weights as published for n = 10 (Shapiro and Wilk 1965, table 5): close to Royston's approximation.
+    base = np.zeros(10)
+    base[-1] = 1.0
+    w, _ = shapiro.shapiro_wilk(base)
+    assert abs(w - 0.5739 ** 2 / 0.9) < 2e-3
+
+
+def test_normal_quantiles():
+    from statistics import NormalDist
+    p = np.r_[np.linspace(1e-9, 1 - 1e-9, 501), 1e-13, 0.0750001, 0.925]
+    assert np.allclose(shapiro.normal_quantiles(p), [NormalDist().inv_cdf(x) for x in p], rtol=1e-12, atol=1e-13)
 
 
 @pytest.mark.parametrize("got, want", [

@@ -52,7 +52,7 @@ def test_missing_dates(spark, freq):
 
 def test_unknown_frequency():
     with pytest.raises(ValueError):
-        calendar.parse_frequency("fortnight")
+        calendar.grid_of("fortnight")
 
 
 def test_deltas_and_gaps(spark):
