@@ -310,11 +310,15 @@ def _rest_pairs(left: DataFrame) -> DataFrame:
 
     Members outside a shingle's largest component (strays) meet all others. Both kinds are cut into parts of a bounded size
     by hash; each part of strays meets each part of the others in one block, and each other part of strays in another.
+    Shingles with the same largest component go to one task as far as its size allows: they hold much the same members, so
+    a pair that shares many shingles leaves few tasks.
     """
     by_home = write_table(left.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")))
-    homes = by_home.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("all")).select(
+    homes_of = write_table(by_home.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("all")).select(
         "shingle", F.col("m.component").alias("main"), F.ceil(F.col("m.k") / BLOCK_MEMBERS).alias("mains"),
-        F.ceil(2 * (F.col("all") - F.col("m.k")) / BLOCK_MEMBERS).alias("strays"))
+        F.ceil(2 * (F.col("all") - F.col("m.k")) / BLOCK_MEMBERS).alias("strays"), "all"))
+    tasks = homes_of.groupBy("main").agg(F.ceil(F.sum("all") / BLOCK_ROWS).alias("salts"))
+    homes = homes_of.join(tasks, "main").withColumn("place", F.xxhash64("main", F.pmod(F.xxhash64("shingle"), F.col("salts")))).drop("all", "salts")
     here = left.join(homes, "shingle").withColumn("stray", F.col("component") != F.col("main"))
     part = F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains")))
     def blocks(kind: int, i, j) -> Column:
@@ -326,10 +330,10 @@ def _rest_pairs(left: DataFrame) -> DataFrame:
     own = F.col("part")
     keys = F.when(F.col("stray"), F.concat(each("mains", lambda i: blocks(0, own, i)), each("strays", lambda i: blocks(1, F.least(own, i), F.greatest(own, i))))).otherwise(
         each("strays", lambda i: blocks(0, i, own)))
-    dealt = here.withColumn("part", part).select("shingle", "node", "n", "at", "component", "stray", F.explode(keys).alias("key")).select(
-        F.xxhash64("shingle", "key.kind", "key.i", "key.j").alias("block"), "node", "n", "at", "component", "stray")
+    dealt = here.withColumn("part", part).select("shingle", "node", "n", "at", "component", "stray", "place", F.explode(keys).alias("key")).select(
+        F.xxhash64("shingle", "key.kind", "key.i", "key.j").alias("block"), "node", "n", "at", "component", "stray", "place")
     groups = max(1, left.count() // BLOCK_ROWS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.groupBy(F.pmod("block", F.lit(groups)).alias("task")).applyInArrow(_block_pairs, "a long, b long").distinct()
+    return dealt.groupBy(F.pmod("place", F.lit(groups)).alias("task")).applyInArrow(_block_pairs, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
