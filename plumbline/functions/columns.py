@@ -66,9 +66,11 @@ def to_moment(df: DataFrame, name: str, formats: Iterable[str] = (), day_first:
     if isinstance(kind, T.DateType):
         return q(name).cast("timestamp_ntz")
     text = q(name).cast("string")
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    tries += [date_of(text, day_first), text.try_cast("timestamp_ntz")]
-    return F.coalesce(*[t.cast("timestamp_ntz") for t in tries])
+    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    cast = text.try_cast("timestamp_ntz")
+    # Plain ISO text takes the short way; a cast would pass over an offset from UTC.
+    tries += [F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ][0-9:.]+)?$"), cast), date_of(text, day_first), cast]
+    return F.coalesce(*tries)
 
 
 def micros(moment: Column) -> Column:

@@ -6,7 +6,9 @@ Shapes are told apart by character classes (digits, letters, separators). Within
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Month names, weekday names, and where two-digit years turn over.
@@ -20,81 +22,120 @@ SHAPES = {
     "y-m-d": (r"\d{4}([-/.])\d{1,2}\1\d{1,2}", (0, 1, 2)),
     "yyyymmdd": (r"(?:1[6-9]|2[0-2])\d{2}(?:0[1-9]|1[0-2])\d{2}", (0, 0, 0)),
     "y-m": (r"\d{4}[-/]\d{1,2}", (0, 1, None)),
-    "m-d-y": (rf"\d{{1,2}}([-/.])\d{{1,2}}\1{_YEAR}", (2, 0, 1)),
-    "d-m-y": (rf"\d{{1,2}}([-/.])\d{{1,2}}\1{_YEAR}", (2, 1, 0)),
+    "n-n-y": (rf"\d{{1,2}}([-/.])\d{{1,2}}\1{_YEAR}", (2, 0, 1)),
     "d name y": (rf"{_DAY}[ -]{_NAME}\.?,?[ -]{_YEAR}", (2, 1, 0)),
     "name d y": (rf"{_NAME}\.? {_DAY},? \d{{4}}", (2, 0, 1)),
     "name y": (rf"{_NAME}\.?,?[ -]\d{{4}}", (1, 0, None)),
 }
+EITHER = "n-n-y"     # day and month in either order
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(?: ?[AaPp][Mm])?"
 _ZONE = r" ?(?:Z|UTC|GMT|([+-])(\d{2}):?(\d{2})?)"
 _TIME = rf"(?:(?:[T ]| at ) ?{_CLOCK}(?:{_ZONE})?)?"
 
 
+GENERAL = r"^(?=.*\d)[0-9A-Za-z][0-9A-Za-z:,./+ -]{4,45}$"
+
+
 def _pattern(shape: str) -> str:
     # Dates without a day have no time either.
     return f"^{SHAPES[shape][0]}{'' if SHAPES[shape][1][2] is None else _TIME}$"
 
 
-def _plain(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), WEEKDAY, "")
-
-
-def has_shape(text: Column, shape: str) -> Column:
-    return _plain(text).rlike(_pattern(shape))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _month(word: Column) -> Column:
     """Number of a month given in figures, in full or by three letters at least; null for other words."""
     name = F.lower(word)
-    named = F.lit(None).cast("int")
-    for i, full in enumerate(MONTH_NAMES):
-        named = F.when(F.lit(full).startswith(name) | (name == "sept") & F.lit(full == "september"), F.lit(i + 1)).otherwise(named)
-    return F.when(word.rlike(r"^\d+$"), word.try_cast("int")).otherwise(named)
+    by_start = F.create_map(*[F.lit(x) for i, m in enumerate(MONTH_NAMES) for x in (m[:3], i + 1)])
+    number = F.try_element_at(by_start, F.substring(name, 1, 3))
+    whole = F.get(F.array(*[F.lit(m) for m in MONTH_NAMES]), number - 1)
+    return F.when(word.rlike(r"^\d+$"), word.try_cast("int")).when(whole.startswith(name) | (name == "sept"), number)
 
 
-def parsed(text: Column, shape: str) -> Column:
-    """Moment without time zone (UTC where the text has an offset) of text of this shape; null for impossible dates."""
-    pattern, (year_at, month_at, day_at) = SHAPES[shape]
-    whole = _plain(text)
-    clocked = whole.contains(":")
+def _fields(text: Column, shape: Column) -> Column:
+    """The numbers and words of the text, with what stands behind them: offset from UTC in minutes, half of the day."""
+    clocked = text.contains(":")
+    hours, minutes = (F.coalesce(F.regexp_extract(text, f"{_ZONE}$", i).try_cast("int"), F.lit(0)) for i in (2, 3))
+    away = (hours * 60 + minutes) * F.when(F.regexp_extract(text, f"{_ZONE}$", 1) == "-", -1).otherwise(1)
     # Offsets go before the fields are read, or their numbers would be taken for seconds.
-    bare = F.when(clocked, F.regexp_replace(whole, f"(?:{_ZONE})$", "")).otherwise(whole)
-    fields = F.regexp_extract_all(bare, F.lit(rf"\d+|{_NAME}"), F.lit(0))
-    if shape == "yyyymmdd":
-        first = F.get(fields, F.lit(0))
-        year, month, day = (F.substring(first, a, n) for a, n in ((1, 4), (5, 2), (7, 2)))
-        clock_at = 1
-    else:
-        year, month = F.get(fields, F.lit(year_at)), F.get(fields, F.lit(month_at))
-        day = F.lit("1") if day_at is None else F.get(fields, F.lit(day_at))
-        clock_at = 3
+    bare = F.when(clocked, F.regexp_replace(text, f"(?:{_ZONE})$", "")).otherwise(text)
+    return F.struct(shape.alias("shape"), F.regexp_extract_all(bare, F.lit(rf"\d+|{_NAME}"), F.lit(0)).alias("f"),
+                    F.when(clocked, away).otherwise(0).alias("away"), F.lower(F.regexp_extract(bare, r"([AaPp])[Mm]$", 1)).alias("half"))
+
+
+def _pick(p: Column, part: int) -> Column:
+    """Year, month or day among the fields, as the shape places it; the month first where it could be either."""
+    field = F.lit(None).cast("string")
+    for shape, (_, places) in SHAPES.items():
+        if shape == "yyyymmdd":
+            value = F.substring(F.get(p["f"], F.lit(0)), (1, 5, 7)[part], (4, 2, 2)[part])
+        else:
+            value = F.lit("1") if places[part] is None else F.get(p["f"], F.lit(places[part]))
+        field = F.when(p["shape"] == shape, value).otherwise(field)
+    return field
+
+
+def _moment(d: Column, month: Column, day: Column) -> Column:
+    made = F.try_make_timestamp_ntz(d["year"], month, day, d["hour"], d["minute"], d["second"])
+    return F.when(d["away"] != 0, F.timestamp_add("MINUTE", -d["away"], made)).otherwise(made)
+
+
+def _parts(p: Column) -> Column:
+    year = _pick(p, 0)
     short = year.try_cast("int")
-    full_year = F.when(F.length(year) > 2, short).otherwise(short + F.when(short >= TURN, 1900).otherwise(2000))
-    hour, minute, second, part = (F.coalesce(F.get(fields, F.lit(clock_at + i)), F.lit("0")) for i in range(4))
-    half = F.lower(F.regexp_extract(bare, r"([AaPp])[Mm]$", 1))
+    clock_at = F.when(p["shape"] == "yyyymmdd", 1).otherwise(3)
+    hour, minute, second, part = (F.coalesce(F.get(p["f"], clock_at + i), F.lit("0")) for i in range(4))
     hour = hour.try_cast("int")
-    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-    seconds = F.concat(second, F.lit("."), F.rpad(F.substring(part, 1, 6), 6, "0")).try_cast("decimal(16,6)")
-    moment = F.try_make_timestamp_ntz(full_year, _month(month), day.try_cast("int"), hour, minute.try_cast("int"), seconds)
-    sign, hours, minutes = (F.regexp_extract(whole, f"{_ZONE}$", i) for i in (1, 2, 3))
-    away = (F.coalesce(hours.try_cast("int"), F.lit(0)) * 60 + F.coalesce(minutes.try_cast("int"), F.lit(0))) * F.when(sign == "-", -1).otherwise(1)
-    shifted = F.when(clocked & (sign != ""), F.timestamp_add("MINUTE", -away, moment)).otherwise(moment)
-    return F.when(whole.rlike(_pattern(shape)), shifted)
+    half = p["half"]
+    return F.struct(
+        p["shape"].alias("shape"), p["away"].alias("away"),
+        F.when(F.length(year) > 2, short).otherwise(short + F.when(short >= TURN, 1900).otherwise(2000)).alias("year"),
+        _month(_pick(p, 1)).alias("month"), _pick(p, 2).try_cast("int").alias("day"),
+        F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).alias("hour"),
+        minute.try_cast("int").alias("minute"),
+        F.concat(second, F.lit("."), F.rpad(F.substring(part, 1, 6), 6, "0")).try_cast("decimal(16,6)").alias("second"))
 
 
-def shapes_of(day_first: bool) -> list[str]:
-    """The shapes with one of the two orders of day and month."""
-    return [s for s in SHAPES if s != ("m-d-y" if day_first else "d-m-y")]
+def _shape(plain: Column) -> Column:
+    shape = F.lit(None).cast("string")
+    for name in reversed(SHAPES):
+        shape = F.when(plain.rlike(_pattern(name)), F.lit(name)).otherwise(shape)
+    return shape
 
 
-def date_of(text: Column, day_first: bool = False) -> Column:
-    return F.coalesce(*[parsed(text, s) for s in shapes_of(day_first)])
+def _plain(text: Column) -> Column:
+    """Text that may be a date, without the name of the weekday; null for other text."""
+    bare = F.regexp_replace(F.trim(text), WEEKDAY, "")
+    return F.when(text.rlike(r"\d") & bare.rlike(GENERAL), bare)
+
+
+def _read(d: Column) -> Column:
+    either = d["shape"] == EITHER
+    return F.struct(d["shape"].alias("shape"), _moment(d, d["month"], d["day"]).alias("month_first"),
+                    F.when(either, _moment(d, d["day"], d["month"])).otherwise(_moment(d, d["month"], d["day"])).alias("day_first"),
+                    F.when(either, d["month"]).alias("one"), F.when(either, d["day"]).alias("two"))
 
 
-def first_two(text: Column) -> tuple[Column, Column]:
-    """The two leading numbers of text like ``5/1/2020``; null for other shapes."""
-    whole = _plain(text)
-    found = F.regexp_extract_all(whole, F.lit(r"\d+"), F.lit(0))
-    fits = whole.rlike(_pattern("m-d-y"))
-    return tuple(F.when(fits, F.get(found, F.lit(i)).try_cast("int")) for i in (0, 1))
+def readings(df: DataFrame, texts: dict[str, Column], keep: dict[str, Column]) -> DataFrame:
+    """``keep`` columns, and for each of ``texts`` a struct: shape, month_first, day_first, one, two.
+
+    How a text reads as a date with either order of day and month: moments without time zone (UTC where the text has an
+    offset), null for impossible dates; ``one`` and ``two`` are the leading numbers of text like ``5/1/2020``. Each step is a
+    projection of its own, so that nothing is computed twice.
+    """
+    kept = [F.col(f"`{c}`") for c in keep]
+    rows = df.select(*[e.alias(c) for c, e in keep.items()], *[_plain(t).alias(c) for c, t in texts.items()])
+    for step in (lambda x: _fields(x, _shape(x)), _parts, _read):
+        rows = rows.select(*kept, *[F.when(F.col(c).isNotNull(), step(F.col(c))).alias(c) for c in texts])
+    return rows
+
+
+def date_of(text: Column, day_first: bool = False) -> Column:
+    """The moment that a text reads as; see :func:`readings`."""
+    def parts(w: Column) -> Column:
+        return _let(_fields(w, _shape(w)), lambda p: _let(_parts(p), lambda d: _read(d)["day_first" if day_first else "month_first"]))
+
+    return _let(_plain(text), lambda w: F.when(w.isNotNull(), parts(w)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import MOMENTS, columns_of, q, string_columns, to_moment, type_of
-from plumbline.functions.date_text import SHAPES, first_two, parsed
+from plumbline.functions.date_text import EITHER, SHAPES, readings
 from plumbline.functions.tables import lookup, write_table
 
 # Words that make a column name look like a date.
@@ -29,35 +29,41 @@ def detect_dates(df: DataFrame, formats: list[str] | None = None, threshold: flo
     ``formats`` are tried besides. A text column that contains ``%`` is ruled out.
     """
     names = cols or [c for c in df.columns if c in set(columns_of(df, (T.StringType, *MOMENTS)))]
-    aggs, cells = [F.count(F.lit(1)).alias("n")], []
+    aggs, cells, read, texts = [F.count(F.lit(1)).alias("n")], [], {}, {}
     for i, c in enumerate(names):
         cell = [F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("position"), F.lit(name_score(c)).alias("name_score")]
         if isinstance(type_of(df, c), MOMENTS):
-            aggs.append(F.count(q(c)).alias(f"h_{i}"))
+            read[f"m_{i}"] = q(c)
+            aggs.append(F.count(f"m_{i}").alias(f"h_{i}"))
             cells.append(F.struct(*cell, F.lit(False).alias("veto"), F.col(f"h_{i}").alias("hits"),
                                   F.lit(None).cast("string").alias("best_format"), F.lit(False).alias("day_first")))
             continue
-        value = q(c).cast("string")
-        given = [F.try_to_timestamp(value, F.lit(f)).isNotNull() for f in formats or []]
-        counted = {}
-        taken = F.lit(False)
-        for k, (name, hit) in enumerate([*zip(formats or [], given), *[(s, parsed(value, s).isNotNull()) for s in SHAPES]]):
-            # A value counts for the first format that reads it; both orders of day and month stand for one.
-            aggs.append(F.count_if(hit & ~taken).alias(f"h_{i}_{k}"))
-            counted[name] = F.col(f"h_{i}_{k}")
-            if name in (formats or []):
-                taken = taken | F.coalesce(hit, F.lit(False))
-        one, two = first_two(value)
-        aggs += [F.max(one).alias(f"f_{i}"), F.max(two).alias(f"s_{i}"), F.max(F.contains(value, F.lit("%"))).alias(f"v_{i}")]
+        texts[f"r_{i}"] = q(c).cast("string")
+        for k, f in enumerate(formats or []):
+            read[f"g_{i}_{k}"] = F.try_to_timestamp(q(c).cast("string"), F.lit(f)).isNotNull()
+        read[f"p_{i}"] = F.contains(q(c).cast("string"), F.lit("%"))
+        # A value counts for the first format that reads it.
+        counted, free = {}, F.lit(True)
+        for k, f in enumerate(formats or []):
+            hit = F.coalesce(F.col(f"g_{i}_{k}"), F.lit(False))
+            counted[f] = free & hit
+            free = free & ~hit
+        shape, american, european = (F.col(f"r_{i}.{x}") for x in ("shape", "month_first", "day_first"))
+        for s in SHAPES:
+            if s != EITHER:
+                counted[s] = free & (shape == s) & american.isNotNull()
+        orders = {"m-d-y": free & (shape == EITHER) & american.isNotNull(), "d-m-y": free & (shape == EITHER) & european.isNotNull()}
+        aggs += [F.count_if(hit).alias(f"h_{i}_{k}") for k, hit in enumerate([*counted.values(), *orders.values()])]
+        aggs += [F.max(f"r_{i}.one").alias(f"f_{i}"), F.max(f"r_{i}.two").alias(f"s_{i}"), F.max(f"p_{i}").alias(f"v_{i}")]
         swapped = F.coalesce((F.col(f"f_{i}") > 12) & (F.col(f"s_{i}") <= 12), F.lit(False))
-        counted["m-d-y"] = F.when(swapped, 0).otherwise(counted["m-d-y"])
-        counted["d-m-y"] = F.when(swapped, counted["d-m-y"]).otherwise(0)
-        hits = sum(list(counted.values())[1:], list(counted.values())[0])
-        best = F.array_max(F.array(*[F.struct(n.cast("long").alias("n"), F.lit(-k).alias("at"), F.lit(f).alias("f")) for k, (f, n) in enumerate(counted.items())]))
-        cells.append(F.struct(*cell, F.coalesce(f"v_{i}", F.lit(False)).alias("veto"), hits.cast("long").alias("hits"),
+        hits = {f: F.col(f"h_{i}_{k}") for k, f in enumerate([*counted, *orders])}
+        hits["m-d-y"] = F.when(swapped, 0).otherwise(hits["m-d-y"])
+        hits["d-m-y"] = F.when(swapped, hits["d-m-y"]).otherwise(0)
+        best = F.array_max(F.array(*[F.struct(n.cast("long").alias("n"), F.lit(-k).alias("at"), F.lit(f).alias("f")) for k, (f, n) in enumerate(hits.items())]))
+        cells.append(F.struct(*cell, F.coalesce(f"v_{i}", F.lit(False)).alias("veto"), sum(hits.values(), F.lit(0)).cast("long").alias("hits"),
                               F.when(best["n"] > 0, best["f"]).alias("best_format"), swapped.alias("day_first")))
     ratio = F.coalesce(F.when(F.col("veto"), 0.0).otherwise(F.try_divide("hits", "n")), F.lit(0.0))
-    table = df.agg(*aggs).select("n", F.inline(F.array(*cells))).withColumn("parse_ratio", ratio)
+    table = readings(df, texts, read).agg(*aggs).select("n", F.inline(F.array(*cells))).withColumn("parse_ratio", ratio)
     return table.select(
         "column", "position", "name_score", "parse_ratio", "best_format", "day_first",
         (~F.col("veto") & ((F.col("parse_ratio") >= threshold)

@@ -52,20 +52,17 @@ NEAR = """near AS (SELECT a.o_orderkey,
  FROM orders a)"""
 
 
-# Wide tables: the lines of an order share most columns, each but a few; in the second table half of the rows have one date.
-WIDE = 7
-
-
-def wide_lines(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    return table(spark, folder, "lineitem").selectExpr(
-        f"l_orderkey * {WIDE} + l_linenumber AS line_id", "date_add(date '1992-01-01', cast(l_orderkey % 2400 AS int)) AS day",
-        "l_returnflag AS flag", *[_wide_column(i, n) for i in range(n)])
+# Wide tables: the orders of a customer share most columns, each but a few; in the second table half of the rows have one date.
+def wide_orders(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    return table(spark, folder, "orders").selectExpr(
+        "o_orderkey", "date_add(date '1992-01-01', cast(o_custkey % 240 AS int)) AS day", "o_orderstatus AS status",
+        *[f"{_wide_column(i, n)} AS c{i}" for i in range(n)])
 
 
 def _wide_column(i: int, n: int) -> str:
-    """Column ``i`` of ``n``: the order's value, and in about three of all columns the line's own."""
-    return (f"CASE WHEN (l_linenumber * 7 + l_partkey + {5 * i}) % {n} < 3 THEN l_linenumber + 1000 * {i} "
-            f"ELSE l_orderkey * {i + 3} % {11 + i} END AS c{i}")
+    """Column ``i`` of ``n``: the customer's value, and in up to two of all columns the order's own."""
+    return (f"CASE WHEN (o_orderkey * 11 + {7 * i}) % {n} < o_orderkey % 3 THEN o_orderkey % 10 + {1000 * i} "
+            f"ELSE o_custkey * {i + 3} % {11 + i} END")
 
 
 def wide_customers(spark: SparkSession, folder: str, n: int) -> DataFrame:
@@ -90,18 +87,18 @@ def _near_sql(rows: str, row_id: str, keys: list[str], cols: list[str], least: i
     return (f"SELECT DISTINCT a.{row_id} FROM {rows} a JOIN {rows} b ON {same} AND a.{row_id} <> b.{row_id} AND {equal} >= {least}")
 
 
-def wide_lines_query(n: int) -> tuple:
-    cols, least = [f"c{i}" for i in range(n)], math.ceil
-    select = ", ".join(_wide_column(i, n) for i in range(n))
-    sql = (f"WITH w AS MATERIALIZED (SELECT l_orderkey * {WIDE} + l_linenumber AS line_id, date '1992-01-01' + (l_orderkey % 2400)::INT AS day, "
-           f"l_returnflag AS flag, {select} FROM lineitem), "
-           f"g AS (SELECT day, flag, {', '.join(cols)}, count(*) AS copies FROM w GROUP BY ALL), "
-           f"b AS ({_near_sql('w', 'line_id', ['day'], ['flag', *cols], least((n + 1) * 0.95))}), "
-           f"c AS ({_near_sql('w', 'line_id', ['flag', 'day'], cols, least(n * 0.95))}) "
-           "SELECT line_id, copies > 1 AS rule_a, line_id IN (SELECT line_id FROM b) AS rule_b, line_id IN (SELECT line_id FROM c) AS rule_c "
-           f"FROM w JOIN g USING (day, flag, {', '.join(cols)})")
-    return (lambda s, d: duplicates.flag_duplicates(wide_lines(s, d, n), "line_id", "flag", "day").select(
-        "line_id", "rule_a", "rule_b", "rule_c"), sql)
+def wide_orders_query(n: int) -> tuple:
+    cols = [f"c{i}" for i in range(n)]
+    select = ", ".join(f"{_wide_column(i, n)} AS c{i}" for i in range(n))
+    sql = ("WITH w AS MATERIALIZED (SELECT o_orderkey, date '1992-01-01' + (o_custkey % 240)::INT AS day, "
+           f"o_orderstatus AS status, {select} FROM orders), "
+           f"g AS (SELECT day, status, {', '.join(cols)}, count(*) AS copies FROM w GROUP BY ALL), "
+           f"b AS ({_near_sql('w', 'o_orderkey', ['day'], ['status', *cols], math.ceil((n + 1) * 0.95))}), "
+           f"c AS ({_near_sql('w', 'o_orderkey', ['status', 'day'], cols, math.ceil(n * 0.95))}) "
+           "SELECT o_orderkey, copies > 1 AS rule_a, o_orderkey IN (SELECT o_orderkey FROM b) AS rule_b, o_orderkey IN (SELECT o_orderkey FROM c) AS rule_c "
+           f"FROM w JOIN g USING (day, status, {', '.join(cols)})")
+    return (lambda s, d: duplicates.flag_duplicates(wide_orders(s, d, n), "o_orderkey", "status", "day").select(
+        "o_orderkey", "rule_a", "rule_b", "rule_c"), sql)
 
 
 def wide_customers_query(n: int) -> tuple:
@@ -195,9 +192,9 @@ QUERIES = {
         lambda s, d: order_flags(s, d, threshold=0.5).select("o_orderkey", "rule_a", "rule_b", "rule_c"),
         f"WITH {ORDER_GROUPS}, {NEAR} SELECT o_orderkey, dup AS rule_a, rule_b, dup AS rule_c "
         "FROM f JOIN near USING (o_orderkey)"),
-    "near_duplicates_24_columns_lineitem": wide_lines_query(24),
-    "near_duplicates_60_columns_lineitem": wide_lines_query(60),
-    "near_duplicates_120_columns_lineitem": wide_lines_query(120),
+    "near_duplicates_24_columns_orders": wide_orders_query(24),
+    "near_duplicates_60_columns_orders": wide_orders_query(60),
+    "near_duplicates_120_columns_orders": wide_orders_query(120),
     "near_duplicates_skewed_date_customer": wide_customers_query(60),
     "key_duplicates_orders": (
         lambda s, d: duplicates.key_duplicates(table(s, d, "orders"), "o_orderkey", ["o_custkey", "o_orderdate"]),
