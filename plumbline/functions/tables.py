@@ -47,6 +47,15 @@ def same_row(left: str, right: str, cols: list[str]) -> Column:
     return cond
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the data: never broadcast.
+
+    Spark goes by the size of the files. Repeated values take little room there, so a few megabytes may hold millions of rows,
+    which would pass whole through the driver.
+    """
+    return df.hint("merge")
+
+
 HOT_GROUPS = 1000
 
 
@@ -71,7 +80,7 @@ def lookup(rows: DataFrame, groups: DataFrame, cols: list[str], size_col: str,
     cold = slim.where(F.col(size_col) <= cut)
     in_hot = rows.alias("l").join(hot.alias("g"), cond, "inner").select(*keep)
     rest = rows.alias("l").join(hot.alias("g"), cond, "left_anti")
-    return in_hot.unionByName(rest.alias("l").join(cold.alias("g"), cond, "left").select(*keep))
+    return in_hot.unionByName(rest.alias("l").join(shuffled(cold).alias("g"), cond, "left").select(*keep))
 
 
 def attach(rows: DataFrame, stats: DataFrame, keys: list[str], unit: str) -> DataFrame:

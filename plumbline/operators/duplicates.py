@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import nulls_for_nan, q
-from plumbline.functions.tables import lookup, write_table
+from plumbline.functions.tables import lookup, shuffled, write_table
 from plumbline.operators.near_rows import near_rows
 
 # Names that mark a column as the date or the entity when none is given.
@@ -102,7 +102,7 @@ def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date:
             marked = marked.withColumn(rule, F.col("rule_a"))
             continue
         near = near_rows(distinct, "distinct_row", keys, compare, spare[rule])
-        marked = marked.join(near.withColumn("_near", F.lit(True)), "distinct_row", "left").withColumn(
+        marked = marked.join(shuffled(near.withColumn("_near", F.lit(True))), "distinct_row", "left").withColumn(
             rule, F.col("rule_a") | F.coalesce("_near", F.lit(False))).drop("_near")
     flagged = write_table(marked.where("rule_a OR rule_b OR rule_c").drop("first_id", "distinct_row"))
     return _flag_rows(df, row_id, cols, flagged)

@@ -4,7 +4,8 @@ If two rows differ in at most ``spare`` columns and the columns are dealt into `
 part entirely. So each row joins one bucket per part, by a 128-bit hash of its key and the part's values, and only rows that
 share a bucket are compared. Buckets of a bounded size are compared value by value inside tasks, many buckets to a task. A
 larger bucket is split anew by parts of the columns that are left, until it is small or until so few columns are left that
-all of its rows are within reach. No pair of rows leaves a task, and no bucket meets in one place before it is small.
+all of its rows are within reach. No pair of rows leaves a task, and no bucket meets in one place before it is small. What
+grows with the rows is joined by shuffle: a written table of repeated values is small on disk, but not in the driver's memory.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import q
-from plumbline.functions.tables import lookup, write_table
+from plumbline.functions.tables import lookup, shuffled, write_table
 
 BUCKET_ROWS = 512      # rows of a bucket that are compared in one task
 TASK_ROWS = 1 << 14    # rows of small buckets that meet in one task, about
@@ -97,7 +98,7 @@ def near_rows(rows: DataFrame, row_id: str, keys: list[str], compare: list[str],
         open_parts = met.where(~F.col("part").isin(sure)) if sure else met
         small = open_parts.where(F.col("n") <= BUCKET_ROWS)
         tasks = max(1, small.count() // TASK_ROWS)
-        binned = small.join(values, row_id).select(row_id, *BUCKET, "values", F.pmod(F.xxhash64(*BUCKET), F.lit(tasks)).alias("bin"))
+        binned = small.join(shuffled(values), row_id).select(row_id, *BUCKET, "values", F.pmod(F.xxhash64(*BUCKET), F.lit(tasks)).alias("bin"))
         found.append(write_table(binned.groupBy("bin").applyInArrow(_compare(row_id, len(keys), spare), f"`{row_id}` {kind}").distinct()))
         big = open_parts.where(F.col("n") > BUCKET_ROWS)
         for i in sorted(r[0] for r in big.select("part").distinct().collect()):
@@ -105,13 +106,13 @@ def near_rows(rows: DataFrame, row_id: str, keys: list[str], compare: list[str],
             known = found[0]
             for f in found[1:]:
                 known = known.unionByName(f)
-            mine = write_table(big.where(F.col("part") == i).join(known.distinct().withColumn("known", F.lit(True)), row_id, "left"))
+            mine = write_table(big.where(F.col("part") == i).join(shuffled(known.distinct().withColumn("known", F.lit(True))), row_id, "left"))
             unsettled = write_table(mine.groupBy(*BUCKET).agg(F.count_if(F.col("known").isNull()).alias("unknown"), F.count(F.lit(1)).alias("n")).where("unknown > 0"))
             if unsettled.isEmpty():
                 continue
             still = lookup(mine.select(row_id, *BUCKET), unsettled, BUCKET, "n", ["n"]).where("n IS NOT NULL")
             deeper = _deal(rest[i], spare + 1)
-            again = rows.join(still.select(F.col(row_id), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), row_id)
+            again = rows.join(shuffled(still.select(F.col(row_id), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))), row_id)
             settle(_buckets(again, row_id, [F.col("_h1"), F.col("_h2")], deeper), rest[i], deeper)
 
     if len(compare) <= spare:

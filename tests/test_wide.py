@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_dates import frame
 
-from plumbline.functions import quantiles
+from plumbline.functions import quantiles, tables
 from plumbline.operators import dates, describe, duplicates, near_rows, roles
 from plumbline.plans.validate import validate
 from plumbline.sources import readers
@@ -58,6 +58,34 @@ def test_wide_rules_with_a_skewed_date(spark):
     assert 0 < len(by_both) <= len(by_date) < 240
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_never_go_through_the_driver(spark, monkeypatch, tmp_path):
+    # Few bytes on disk, so that Spark would broadcast every table here.
+    df = spark.range(600).selectExpr("id", "id % 7 AS day", "id AS c0", *[f"id % 2 AS c{i}" for i in range(1, 6)])
+    df.write.parquet(str(tmp_path / "rows"))
+    rows, plans = spark.read.parquet(str(tmp_path / "rows")), []
+    real = near_rows.write_table
+    marked = []
+    monkeypatch.setattr(near_rows, "write_table", lambda d: plans.append(plan_of(d)) or real(d))
+    monkeypatch.setattr(duplicates, "write_table", lambda d: marked.append(plan_of(d)) or real(d))
+    monkeypatch.setattr(near_rows, "BUCKET_ROWS", 4)
+    flags = duplicates.flag_duplicates(rows, "id", date="day", threshold=0.8)
+    compared = [p for p in plans if "FlatMapGroupsInArrow" in p]
+    known = [p for p in plans if "known" in p and "Join" in p]
+    marked = [p for p in marked if "Join" in p]
+    assert compared and known and marked
+    for p in (*compared, *known, *marked):
+        assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+    assert flags.where("rule_b").count() == 600
+    # Of the groups only the largest are sent, fewer than 1,000.
+    groups = tables.write_table(spark.range(3000).selectExpr("id AS c", "id AS n", "id AS v"))
+    found = tables.lookup(spark.range(4000).selectExpr("id AS c"), groups, ["c"], "n", ["v"])
+    assert plan_of(found).count("SortMergeJoin") == 1 and found.where("v = c").count() == 3000
+
+
 @pytest.mark.parametrize("gathered, accuracy", [(20_000, 10_000), (30, 200)])
 def test_quantiles_are_exact(spark, monkeypatch, gathered, accuracy):
     monkeypatch.setattr(quantiles, "GATHERED", gathered)
