@@ -29,42 +29,42 @@ def detect_dates(df: DataFrame, formats: list[str] | None = None, threshold: flo
     ``formats`` are tried besides. A text column that contains ``%`` is ruled out.
     """
     names = cols or [c for c in df.columns if c in set(columns_of(df, (T.StringType, *MOMENTS)))]
-    aggs, cells, read, texts = [F.count(F.lit(1)).alias("n")], [], {}, {}
-    for i, c in enumerate(names):
-        cell = [F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("position"), F.lit(name_score(c)).alias("name_score")]
-        if isinstance(type_of(df, c), MOMENTS):
-            read[f"m_{i}"] = q(c)
-            aggs.append(F.count(f"m_{i}").alias(f"h_{i}"))
-            cells.append(F.struct(*cell, F.lit(False).alias("veto"), F.col(f"h_{i}").alias("hits"),
-                                  F.lit(None).cast("string").alias("best_format"), F.lit(False).alias("day_first")))
-            continue
-        texts[f"r_{i}"] = q(c).cast("string")
-        for k, f in enumerate(formats or []):
-            read[f"g_{i}_{k}"] = F.try_to_timestamp(q(c).cast("string"), F.lit(f)).isNotNull()
-        read[f"p_{i}"] = F.contains(q(c).cast("string"), F.lit("%"))
-        # A value counts for the first format that reads it.
-        counted, free = {}, F.lit(True)
-        for k, f in enumerate(formats or []):
-            hit = F.coalesce(F.col(f"g_{i}_{k}"), F.lit(False))
-            counted[f] = free & hit
-            free = free & ~hit
-        shape, american, european = (F.col(f"r_{i}.{x}") for x in ("shape", "month_first", "day_first"))
-        for s in SHAPES:
-            if s != EITHER:
-                counted[s] = free & (shape == s) & american.isNotNull()
-        orders = {"m-d-y": free & (shape == EITHER) & american.isNotNull(), "d-m-y": free & (shape == EITHER) & european.isNotNull()}
-        aggs += [F.count_if(hit).alias(f"h_{i}_{k}") for k, hit in enumerate([*counted.values(), *orders.values()])]
-        aggs += [F.max(f"r_{i}.one").alias(f"f_{i}"), F.max(f"r_{i}.two").alias(f"s_{i}"), F.max(f"p_{i}").alias(f"v_{i}")]
-        swapped = F.coalesce((F.col(f"f_{i}") > 12) & (F.col(f"s_{i}") <= 12), F.lit(False))
-        hits = {f: F.col(f"h_{i}_{k}") for k, f in enumerate([*counted, *orders])}
-        hits["m-d-y"] = F.when(swapped, 0).otherwise(hits["m-d-y"])
-        hits["d-m-y"] = F.when(swapped, hits["d-m-y"]).otherwise(0)
-        best = F.array_max(F.array(*[F.struct(n.cast("long").alias("n"), F.lit(-k).alias("at"), F.lit(f).alias("f")) for k, (f, n) in enumerate(hits.items())]))
-        cells.append(F.struct(*cell, F.coalesce(f"v_{i}", F.lit(False)).alias("veto"), sum(hits.values(), F.lit(0)).cast("long").alias("hits"),
-                              F.when(best["n"] > 0, best["f"]).alias("best_format"), swapped.alias("day_first")))
+    formats = formats or []
+    # One row per value, so that all columns are read by the same small code.
+    long = df.select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("at"), (q(c).isNotNull() if moment else F.lit(False)).alias("moment"),
+        (F.lit(None) if moment else q(c)).cast("string").alias("text")) for i, c in enumerate(names)
+        for moment in [isinstance(type_of(df, c), MOMENTS)]]))) if names else None
+    columns = [F.struct(F.lit(i).alias("at"), F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("position"),
+                        F.lit(name_score(c)).alias("name_score")) for i, c in enumerate(names)]
+    read = {"at": F.col("at"), "moment": F.col("moment"), "percent": F.contains("text", F.lit("%"))}
+    read |= {f"g_{k}": F.try_to_timestamp("text", F.lit(f)).isNotNull() for k, f in enumerate(formats)}
+    # A value counts for the first format that reads it.
+    counted, free = {}, F.lit(True)
+    for k, f in enumerate(formats):
+        hit = F.coalesce(F.col(f"g_{k}"), F.lit(False))
+        counted[f] = free & hit
+        free = free & ~hit
+    shape, american, european = (F.col(f"r.{x}") for x in ("shape", "month_first", "day_first"))
+    for s in SHAPES:
+        if s != EITHER:
+            counted[s] = free & (shape == s) & american.isNotNull()
+    counted |= {"m-d-y": free & (shape == EITHER) & american.isNotNull(), "d-m-y": free & (shape == EITHER) & european.isNotNull()}
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if("moment").alias("moments"), F.max("percent").alias("percent"),
+            F.max("r.one").alias("one"), F.max("r.two").alias("two"), *[F.count_if(hit).alias(f"h_{k}") for k, hit in enumerate(counted.values())]]
+    swapped = F.coalesce((F.col("one") > 12) & (F.col("two") <= 12), F.lit(False))
+    hits = {f: F.coalesce(F.col(f"h_{k}"), F.lit(0)) for k, f in enumerate(counted)}
+    hits["m-d-y"] = F.when(swapped, 0).otherwise(hits["m-d-y"])
+    hits["d-m-y"] = F.when(swapped, hits["d-m-y"]).otherwise(0)
+    best = F.array_max(F.array(*[F.struct(n.cast("long").alias("n"), F.lit(-k).alias("at"), F.lit(f).alias("f")) for k, (f, n) in enumerate(hits.items())]))
+    counts = readings(long, {"r": F.col("text")}, read).groupBy("at").agg(*aggs)
+    # An empty table has its columns, too.
+    table = df.sparkSession.range(1).select(F.inline(F.array(*columns))).join(F.broadcast(counts), "at", "left").select(
+        "at", "column", "position", "name_score", F.coalesce("percent", F.lit(False)).alias("veto"), "n",
+        (F.coalesce("moments", F.lit(0)) + sum(hits.values(), F.lit(0))).cast("long").alias("hits"),
+        F.when(best["n"] > 0, best["f"]).alias("best_format"), swapped.alias("day_first"))
     ratio = F.coalesce(F.when(F.col("veto"), 0.0).otherwise(F.try_divide("hits", "n")), F.lit(0.0))
-    table = readings(df, texts, read).agg(*aggs).select("n", F.inline(F.array(*cells))).withColumn("parse_ratio", ratio)
-    return table.select(
+    return table.withColumn("parse_ratio", ratio).orderBy("at").select(
         "column", "position", "name_score", "parse_ratio", "best_format", "day_first",
         (~F.col("veto") & ((F.col("parse_ratio") >= threshold)
                            | ((F.col("name_score") > 0) & (F.col("parse_ratio") > 0.3)))).alias("is_date"),
