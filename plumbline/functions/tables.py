@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir``, else one on the session's default file system.
@@ -32,10 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def write_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads the written copy."""
+    """Write ``df`` once and return a DataFrame that reads the written copy.
+
+    Nothing reads the shuffle files of the write again, so they go at its end; else they stay on disk until the driver happens
+    to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plumbline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        else:
+            spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,9 +12,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import nulls_for_nan, q
+from plumbline.functions.columns import NESTED, nulls_for_nan, q, type_of
 from plumbline.functions.tables import lookup, shuffled, write_table
-from plumbline.operators.near_rows import near_rows
+from plumbline.operators.near_rows import near_codes
+from plumbline.operators.row_codes import encode_rows
 
 # Names that mark a column as the date or the entity when none is given.
 DATE_WORDS = ["date", "time", "timestamp", "period"]
@@ -72,8 +73,9 @@ def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date:
 
     rule_a: identical row; rule_b: same date and at least ``threshold`` of the
     other columns equal; rule_c: the same within entity and date. A rule whose
-    columns are not named is false for all rows. Rows are collapsed to distinct
-    rows first, and those with few unequal columns are found by ``near_rows``.
+    columns are not named is false for all rows. Rows are written once as short
+    exact codes and collapsed to distinct rows; those with few unequal columns
+    are found by ``near_rows``.
     """
     df = nulls_for_nan(df)
     cols = [c for c in df.columns if c != row_id]
@@ -87,25 +89,32 @@ def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date:
         for rule, keys in rules.items():
             groups = groups.withColumn(rule, F.lit(keys is not None))
         return _flag_rows(df, row_id, cols, write_table(groups))
+    keys = list(dict.fromkeys(k for k in (date, entity) if k))
+    nested = [c for c in cols if isinstance(type_of(df, c), NESTED)]
+    coded, layout = encode_rows(df, [row_id, *nested], keys, [c for c in cols if c not in keys], max(spare.values()) + 1)
+    coded = write_table(coded)
     # Numbered before they are written, so that the numbers stay.
-    distinct = write_table(df.groupBy(*[q(c) for c in cols]).agg(
+    distinct = write_table(coded.groupBy(*[q(c) for c in layout.exact]).agg(
         F.count(F.lit(1)).alias("copies"), F.min(q(row_id)).alias("first_id")).withColumn(
         "distinct_row", F.monotonically_increasing_id()))
     exact = F.col("copies") > 1
     marked = distinct.withColumns({"rule_a": exact, "group_id": F.when(exact, F.col("first_id"))})
+    near: dict[str, DataFrame] = {}
+    # Near within entity and date is near on the date too, where as many columns may differ there.
+    for rule in ("rule_c", "rule_b"):
+        if spare.get(rule, 0) > 0:
+            known = near.get("rule_c") if spare[rule] >= spare.get("rule_c", 0) else None
+            near[rule] = write_table(near_codes(distinct, "distinct_row", layout, rules[rule], [c for c in cols if c not in rules[rule]], spare[rule], known))
     for rule, keys in rules.items():
         if keys is None:
             marked = marked.withColumn(rule, F.lit(False))
-            continue
-        compare = [c for c in cols if c not in keys]
-        if spare[rule] == 0:
+        elif rule not in near:
             marked = marked.withColumn(rule, F.col("rule_a"))
-            continue
-        near = near_rows(distinct, "distinct_row", keys, compare, spare[rule])
-        marked = marked.join(shuffled(near.withColumn("_near", F.lit(True))), "distinct_row", "left").withColumn(
-            rule, F.col("rule_a") | F.coalesce("_near", F.lit(False))).drop("_near")
+        else:
+            marked = marked.join(shuffled(near[rule].withColumn("_near", F.lit(True))), "distinct_row", "left").withColumn(
+                rule, F.col("rule_a") | F.coalesce("_near", F.lit(False))).drop("_near")
     flagged = write_table(marked.where("rule_a OR rule_b OR rule_c").drop("first_id", "distinct_row"))
-    return _flag_rows(df, row_id, cols, flagged)
+    return _flag_rows(coded, row_id, layout.exact, flagged)
 
 
 def _flag_rows(df: DataFrame, row_id: str, cols: list[str], groups: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 If two rows differ in at most ``spare`` columns and the columns are dealt into ``spare + 1`` parts, the rows agree on one
 part entirely. So each row joins one bucket per part, by a 128-bit hash of its key and the part's values, and only rows that
-share a bucket are compared. Buckets of a bounded size are compared value by value inside tasks, many buckets to a task. A
-larger bucket is split anew by parts of the columns that are left, until it is small or until so few columns are left that
-all of its rows are within reach. No pair of rows leaves a task, and no bucket meets in one place before it is small. What
-grows with the rows is joined by shuffle: a written table of repeated values is small on disk, but not in the driver's memory.
+share a bucket are compared, by their codes (see ``row_codes``), which are exact. The first part settles most rows; the other
+parts are then looked at where a bucket holds a row that has no partner yet. Buckets of a bounded size are compared inside
+tasks, many buckets to a task. A larger bucket is first compared in pieces, and split anew by parts of the columns that are
+left if a row is open after that, until it is small or until so few columns are left that all of its rows are within reach. No
+pair of rows leaves a task, and no bucket meets in one place before it is small. What grows with the rows is joined by
+shuffle: a written table of repeated values is small on disk, but not in the driver's memory.
 """
 
 from __future__ import annotations
@@ -15,59 +17,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import q
 from plumbline.functions.tables import lookup, shuffled, write_table
+from plumbline.operators.row_codes import CODES, TEXTS, Cells, Layout, encode_rows
 
 BUCKET_ROWS = 512      # rows of a bucket that are compared in one task
 TASK_ROWS = 1 << 14    # rows of small buckets that meet in one task, about
 BUCKET = ["part", "h1", "h2"]
 
 
-def _text(col: str) -> Column:
-    return F.coalesce(F.concat(F.lit("v"), q(col).cast("string")), F.lit("n"))
-
-
 def _deal(cols: list[str], parts: int) -> list[list[str]]:
     """``cols``, the most telling first, dealt out so that every part has telling ones."""
     return [cols[i::parts] for i in range(parts)]
 
 
-def _telling_first(rows: DataFrame, cols: list[str]) -> list[str]:
-    """Columns by falling number of distinct values; the order only decides how fast the search is."""
-    found = rows.agg(*[F.approx_count_distinct(q(c), 0.1).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return [c for _, c in sorted(zip(found, cols), key=lambda x: -x[0])]
+def _hashes(home: list[Column], parts: dict[int, list[Column]]) -> Column:
+    """An array of the buckets (part, h1, h2) of a row; ``home`` are columns that members share besides."""
+    return F.array(*[F.struct(F.lit(i).alias("part"), *[
+        F.xxhash64(F.lit(seed), *home, *part).alias(f"h{seed}") for seed in (1, 2)]) for i, part in parts.items()])
 
 
-def _buckets(rows: DataFrame, row_id: str, home: list[Column], parts: list[list[str]]) -> DataFrame:
-    """(row id, part, h1, h2): the buckets of every row; ``home`` are columns that members share besides."""
-    hashes = [F.struct(F.lit(i).alias("part"), *[
-        F.xxhash64(F.lit(seed), *home, *[_text(c) for c in part]).alias(f"h{seed}") for seed in (1, 2)]) for i, part in enumerate(parts)]
-    return rows.select(row_id, F.explode(F.array(*hashes)).alias("_b")).select(row_id, "_b.*")
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.distinct()
 
 
-def _compare(row_id: str, n_keys: int, spare: int):
+def _compare(row_id: str, layout: Layout, keys: list[str], compare: list[str], spare: int):
     """Function over the rows of many buckets: ids of those with a partner in their bucket."""
     def run(_: tuple, rows: pa.Table) -> pa.Table:
         n = rows.num_rows
-        flat = rows.column("values").combine_chunks().flatten().dictionary_encode()
-        if isinstance(flat, pa.ChunkedArray):
-            flat = flat.combine_chunks()
-        codes = flat.indices.to_numpy(zero_copy_only=False).reshape(n, -1)
-        bucket = np.column_stack([rows.column(c).to_numpy() for c in BUCKET]).astype(np.int64)
+        bucket = np.column_stack([rows.column(c).to_numpy() for c in [*BUCKET, "piece"]]).astype(np.int64)
         order = np.lexsort(bucket.T)
-        codes, bucket = codes[order], bucket[order]
+        bucket = bucket[order]
+        key, cells = Cells(layout, keys, rows, order), Cells(layout, compare, rows, order)
         fresh = np.append(True, (bucket[1:] != bucket[:-1]).any(1))
         end = np.append(np.flatnonzero(fresh)[1:], n)[np.cumsum(fresh) - 1]
         hit = np.zeros(n, bool)
-        left = np.arange(n)
-        for step in range(1, BUCKET_ROWS):
+        left, step = np.arange(n), 0
+        while True:
+            step += 1
             left = left[left + step < end[left]]
             if not len(left):
                 break
-            for at in range(0, len(left), 4096):
-                a = left[at:at + 4096]
-                apart = codes[a] != codes[a + step]
-                near = a[~apart[:, :n_keys].any(1) & (apart[:, n_keys:].sum(1) <= spare)]
+            # Two rows that have a partner already tell nothing new.
+            open_ = left[~(hit[left] & hit[left + step])]
+            for at in range(0, len(open_), 4096):
+                a = open_[at:at + 4096]
+                near = a[(cells.apart(a, a + step) <= spare) & (key.apart(a, a + step) == 0)]
                 hit[near] = hit[near + step] = True
         return pa.table({row_id: rows.column(row_id).combine_chunks().take(pa.array(order[hit]))})
 
@@ -79,49 +76,73 @@ def near_rows(rows: DataFrame, row_id: str, keys: list[str], compare: list[str],
 
     ``rows`` is a written table with a number ``row_id`` for every row. Null equals null.
     """
-    ordered = _telling_first(rows, compare) if len(compare) > spare else compare
-    values = rows.select(row_id, F.array(*[_text(c) for c in [*keys, *compare]]).alias("values"))
-    key = [_text(k) for k in keys]
+    coded, layout = encode_rows(rows, [row_id], keys, compare, spare + 1)
+    return near_codes(write_table(coded), row_id, layout, keys, compare, spare)
+
+
+def near_codes(rows: DataFrame, row_id: str, layout: Layout, keys: list[str], compare: list[str], spare: int,
+               known: DataFrame | None = None) -> DataFrame:
+    """:func:`near_rows` of rows that have codes; ``known`` are ids of rows that have a partner for certain."""
+    values = rows.select(row_id, CODES, *([TEXTS] if layout.texts else []))
     kind = rows.schema[row_id].dataType.simpleString()
-    found: list[DataFrame] = []
+    found = [known] if known is not None else []
+
+    def ranked(cols: list[str]) -> list[str]:
+        return [c for c in layout.telling if c in cols] + [c for c in cols if c not in layout.telling]
 
-    def settle(members: DataFrame, left: list[str], parts: list[list[str]]) -> None:
-        """Flag what the buckets of ``members`` tell; split those that are too large."""
-        members = write_table(members)
-        sizes = write_table(members.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        met = write_table(lookup(members, sizes, BUCKET, "n", ["n"]).where("n IS NOT NULL"))
+    def marked(ids: DataFrame) -> DataFrame:
+        """With ``known``, which is null for rows without a partner so far."""
+        if not found:
+            return ids.withColumn("known", F.lit(None).cast("boolean"))
+        return ids.join(shuffled(_union(found).withColumn("known", F.lit(True))), row_id, "left")
+
+    def open_buckets(members: DataFrame) -> DataFrame:
+        """Buckets of several rows, one of which has no partner yet: the others have nothing to tell."""
+        return write_table(members.groupBy(*BUCKET).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("known").isNull()).alias("still")).where("n > 1 AND still > 0").drop("still"))
+
+    def settle(at: DataFrame, home: list[Column], left: list[str], parts: list[list[str]]) -> None:
+        """Flag what the buckets of ``at`` tell; split those that are too large."""
         rest = [[c for c in left if c not in part] for part in parts]
-        sure = [i for i, r in enumerate(rest) if len(r) <= spare]
-        if sure:
-            # All that is left may differ.
-            found.append(write_table(met.where(F.col("part").isin(sure)).select(row_id).distinct()))
-        open_parts = met.where(~F.col("part").isin(sure)) if sure else met
-        small = open_parts.where(F.col("n") <= BUCKET_ROWS)
-        tasks = max(1, small.count() // TASK_ROWS)
-        binned = small.join(shuffled(values), row_id).select(row_id, *BUCKET, "values", F.pmod(F.xxhash64(*BUCKET), F.lit(tasks)).alias("bin"))
-        found.append(write_table(binned.groupBy("bin").applyInArrow(_compare(row_id, len(keys), spare), f"`{row_id}` {kind}").distinct()))
-        big = open_parts.where(F.col("n") > BUCKET_ROWS)
-        for i in sorted(r[0] for r in big.select("part").distinct().collect()):
-            # A bucket all of whose rows have a partner already has nothing to tell.
-            known = found[0]
-            for f in found[1:]:
-                known = known.unionByName(f)
-            mine = write_table(big.where(F.col("part") == i).join(shuffled(known.distinct().withColumn("known", F.lit(True))), row_id, "left"))
-            unsettled = write_table(mine.groupBy(*BUCKET).agg(F.count_if(F.col("known").isNull()).alias("unknown"), F.count(F.lit(1)).alias("n")).where("unknown > 0"))
-            if unsettled.isEmpty():
+        large: list[DataFrame] = []
+        for group in ([0], list(range(1, len(parts)))):
+            if not group:
                 continue
-            still = lookup(mine.select(row_id, *BUCKET), unsettled, BUCKET, "n", ["n"]).where("n IS NOT NULL")
-            deeper = _deal(rest[i], spare + 1)
-            again = rows.join(shuffled(still.select(F.col(row_id), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))), row_id)
-            settle(_buckets(again, row_id, [F.col("_h1"), F.col("_h2")], deeper), rest[i], deeper)
-
+            hashed = at.select(row_id, _hashes(home, {i: layout.piece(parts[i]) for i in group}).alias("_b"))
+            sizes = open_buckets(marked(hashed).select("known", F.explode("_b").alias("_b")).select("known", "_b.*"))
+            if sizes.isEmpty():
+                continue
+            members = hashed.select(row_id, F.explode("_b").alias("_b")).select(row_id, "_b.*")
+            met = write_table(lookup(members, sizes, BUCKET, "n", ["n"]).where("n IS NOT NULL"))
+            sure = [i for i in group if len(rest[i]) <= spare]
+            if sure:
+                # All that is left may differ.
+                found.append(write_table(met.where(F.col("part").isin(sure)).select(row_id).distinct()))
+            unsure = met.where(~F.col("part").isin(sure)) if sure else met
+            pieces = F.ceil(F.col("n") / max(2, BUCKET_ROWS // 2))
+            placed = unsure.select(row_id, *BUCKET, F.when(F.col("n") <= BUCKET_ROWS, F.lit(0)).otherwise(
+                F.pmod(F.xxhash64(F.lit(7), row_id), pieces)).alias("piece"))
+            tasks = max(1, unsure.count() // TASK_ROWS)
+            binned = placed.join(shuffled(values), row_id).withColumn("bin", F.pmod(F.xxhash64(*BUCKET, "piece"), F.lit(tasks)))
+            found.append(write_table(binned.groupBy("bin").applyInArrow(
+                _compare(row_id, layout, keys, compare, spare), f"`{row_id}` {kind}").distinct()))
+            large.append(unsure.where(F.col("n") > BUCKET_ROWS).drop("n"))
+        for big in large:
+            for i in sorted(r[0] for r in big.select("part").distinct().collect()):
+                mine = big.where(F.col("part") == i)
+                unsettled = open_buckets(marked(mine))
+                if unsettled.isEmpty():
+                    continue
+                still = lookup(mine, unsettled, BUCKET, "n", ["n"]).where("n IS NOT NULL")
+                deeper = _deal(ranked(rest[i]), spare + 1)
+                again = write_table(values.join(shuffled(still.select(F.col(row_id), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))), row_id))
+                settle(again, [F.col("_h1"), F.col("_h2")], rest[i], deeper)
+
+    key = layout.piece(keys)
     if len(compare) <= spare:
         # Equal keys are enough.
-        settle(_buckets(rows, row_id, key, [[]]), [], [[]])
+        settle(rows, key, [], [[]])
     else:
-        first = _deal(ordered, spare + 1)
-        settle(_buckets(rows, row_id, key, first), ordered, first)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+        first = _deal(ranked(compare), spare + 1)
+        settle(rows, key, compare, first)
+    return _union(found) if found else rows.select(row_id).limit(0)
