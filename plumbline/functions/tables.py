@@ -9,11 +9,14 @@ also cuts the lineage and survives the loss of any executor.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +36,29 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def write_wide(df: DataFrame) -> DataFrame:
+    """:func:`write_table` of a table whose columns are many expressions.
+
+    Side by side in one generated method they pass the 8,000 bytes up to which HotSpot compiles, and would be interpreted.
+    """
+    with setting(df.sparkSession, METHOD_LIMIT, "8000"):
+        return write_table(df)
+
+
 def write_table(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written copy.
 
@@ -41,15 +67,8 @@ def write_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plumbline/{uuid.uuid4().hex}"
-    before = spark.conf.get(FILE_CLEANUP, None)
-    spark.conf.set(FILE_CLEANUP, "true")
-    try:
+    with setting(spark, FILE_CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(FILE_CLEANUP)
-        else:
-            spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

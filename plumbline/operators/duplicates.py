@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import NESTED, nulls_for_nan, q, type_of
-from plumbline.functions.tables import lookup, shuffled, write_table
+from plumbline.functions.tables import lookup, shuffled, write_table, write_wide
 from plumbline.operators.near_rows import near_codes
 from plumbline.operators.row_codes import encode_rows
 
@@ -92,7 +92,7 @@ def flag_duplicates(df: DataFrame, row_id: str, entity: str | None = None, date:
     keys = list(dict.fromkeys(k for k in (date, entity) if k))
     nested = [c for c in cols if isinstance(type_of(df, c), NESTED)]
     coded, layout = encode_rows(df, [row_id, *nested], keys, [c for c in cols if c not in keys], max(spare.values()) + 1)
-    coded = write_table(coded)
+    coded = write_wide(coded)
     # Numbered before they are written, so that the numbers stay.
     distinct = write_table(coded.groupBy(*[q(c) for c in layout.exact]).agg(
         F.count(F.lit(1)).alias("copies"), F.min(q(row_id)).alias("first_id")).withColumn(

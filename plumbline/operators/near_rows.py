@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.tables import lookup, shuffled, write_table
+from plumbline.functions.tables import lookup, shuffled, write_table, write_wide
 from plumbline.operators.row_codes import CODES, TEXTS, Cells, Layout, encode_rows
 
 BUCKET_ROWS = 512      # rows of a bucket that are compared in one task
@@ -77,7 +77,7 @@ def near_rows(rows: DataFrame, row_id: str, keys: list[str], compare: list[str],
     ``rows`` is a written table with a number ``row_id`` for every row. Null equals null.
     """
     coded, layout = encode_rows(rows, [row_id], keys, compare, spare + 1)
-    return near_codes(write_table(coded), row_id, layout, keys, compare, spare)
+    return near_codes(write_wide(coded), row_id, layout, keys, compare, spare)
 
 
 def near_codes(rows: DataFrame, row_id: str, layout: Layout, keys: list[str], compare: list[str], spare: int,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import INTEGRAL, MOMENTS, NESTED, micros, q, type_of
-from plumbline.functions.tables import write_table
+from plumbline.functions.tables import METHOD_LIMIT, setting, write_wide
 
 LEVELS = 254          # distinct values of a column that takes one byte; 0 is null
 LEVEL_CHARS = 64      # longer text is not listed
@@ -156,7 +156,7 @@ def encode_rows(df: DataFrame, keep: list[str], keys: list[str], compare: list[s
     cols = [*keys, *compare]
     plain = {c: _plain(df, c) for c in cols}
     kinds = [plain[c][0] for c in cols]
-    found = write_table(df.select(*[plain[c][1].alias(f"_v{i}") for i, c in enumerate(cols)]).mapInArrow(
+    found = write_wide(df.select(*[plain[c][1].alias(f"_v{i}") for i, c in enumerate(cols)]).mapInArrow(
         _levels(kinds), "c int, k long, t string, many boolean").distinct())
     sizes = {r.c: r for r in found.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many")).collect()}
     wide = {c for i, c in enumerate(cols) if i in sizes and (sizes[i].many or sizes[i].n > LEVELS)}
@@ -168,7 +168,8 @@ def encode_rows(df: DataFrame, keep: list[str], keys: list[str], compare: list[s
     open_ = [c for c in compare if c in wide]
     n_values = {c: len(listed[c]) for c in compare if c not in wide}
     if len(open_) > 1:
-        n_values |= dict(zip(open_, df.agg(*[F.approx_count_distinct(q(c), 0.1).alias(f"d{i}") for i, c in enumerate(open_)]).first()))
+        with setting(df.sparkSession, METHOD_LIMIT, "8000"):
+            n_values |= dict(zip(open_, df.agg(*[F.approx_count_distinct(q(c), 0.1).alias(f"d{i}") for i, c in enumerate(open_)]).first()))
     telling = sorted(compare, key=lambda c: -n_values.get(c, LEVELS + 1))
     start, at = {}, 0
     for c in [*keys, *[c for part in range(parts) for c in telling[part::parts]]]:

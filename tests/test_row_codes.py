@@ -22,7 +22,7 @@ def test_wide_rows_move_as_codes(spark, monkeypatch, tmp_path):
                                                            for i in range(n)]).write.parquet(str(tmp_path / "rows"))
     plans = []
     real = near_rows.write_table
-    for module in (near_rows, duplicates, row_codes):
+    for module in (near_rows, duplicates, tables):
         monkeypatch.setattr(module, "write_table", lambda d: plans.append(plan_of(d)) or real(d))
     flags = duplicates.flag_duplicates(spark.read.parquet(str(tmp_path / "rows")), "id", date="day")
     assert flags.where("rule_b").count() == 900
