@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.columns import MOMENTS, columns_of, q, string_columns, to_moment, type_of
 from plumbline.functions.date_text import EITHER, SHAPES, readings
-from plumbline.functions.tables import lookup, write_table
+from plumbline.functions.tables import lookup, write_table, write_wide
 
 # Words that make a column name look like a date.
 DATE_WORDS = ["date", "time", "year", "month", "day", "period", "timestamp"]
@@ -63,7 +63,8 @@ def detect_dates(df: DataFrame, formats: list[str] | None = None, threshold: flo
         cells.append(F.struct(*cell, F.coalesce(f"v_{i}", F.lit(False)).alias("veto"), sum(hits.values(), F.lit(0)).cast("long").alias("hits"),
                               F.when(best["n"] > 0, best["f"]).alias("best_format"), swapped.alias("day_first")))
     ratio = F.coalesce(F.when(F.col("veto"), 0.0).otherwise(F.try_divide("hits", "n")), F.lit(0.0))
-    table = readings(df, texts, read).agg(*aggs).select("n", F.inline(F.array(*cells))).withColumn("parse_ratio", ratio)
+    counted = write_wide(readings(df, texts, read).agg(*aggs))
+    table = counted.select("n", F.inline(F.array(*cells))).withColumn("parse_ratio", ratio)
     return table.select(
         "column", "position", "name_score", "parse_ratio", "best_format", "day_first",
         (~F.col("veto") & ((F.col("parse_ratio") >= threshold)
